@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks
+from .common import CHUNK_BYTES, byte_values, chunks
 
 #: Words in a window.
 WINDOW = 10
@@ -23,6 +23,8 @@ _LOWER = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)
 )
 _BITS = 21
+#: Words of one suffix array; longer documents are cut, overlapping by the longest test suffix.
+SHARD_WORDS = 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -67,19 +69,18 @@ def suffix_array(words: np.ndarray, least: int, depth: int) -> tuple[np.ndarray,
 
     ``words`` are numbers, 0 where a document ends or a word stands that no
     item has. A suffix that meets a zero within ``least`` words can match no
-    window and is left out; the others are sorted by up to ``depth`` words,
-    which is as far as the longest test suffix reaches.
+    window and is left out; the others are sorted by ``depth`` words, a window's.
     """
     zeros = np.flatnonzero(words == 0)
     ends = np.append(zeros, len(words))
     run = ends[np.searchsorted(ends, np.arange(len(words)))] - np.arange(len(words))
     starts = np.flatnonzero(run >= least)
     if not len(starts):
-        return starts, np.zeros((0, depth), np.int64)
+        return starts, np.zeros((0, depth), np.int32)
     padded = np.concatenate([words, np.zeros(depth, words.dtype)])
-    rows = padded[starts[:, None] + np.arange(depth)].astype(np.int64)
+    rows = padded[starts[:, None] + np.arange(depth)]
     rows[np.arange(depth) >= run[starts, None]] = 0
-    keys = (rows[:, 0::3] << (2 * _BITS)) | (rows[:, 1::3] << _BITS) | rows[:, 2::3]
+    keys = (rows[:, 0::3].astype(np.int64) << (2 * _BITS)) | (rows[:, 1::3].astype(np.int64) << _BITS) | rows[:, 2::3]
     order = np.lexsort(keys.T[::-1])
     return starts[order], rows[order]
 
@@ -105,32 +106,54 @@ def bounds(rows: np.ndarray, tests: np.ndarray, lengths: np.ndarray) -> tuple[np
     return search(False), search(True)
 
 
-def matches(words: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every occurrence of every window: start position, test suffix, and words of the verbatim match from there."""
-    depth = tests.suffixes.shape[1]
-    starts, rows = suffix_array(words, tests.least, depth)
+def _matches(words: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
+    starts, rows = suffix_array(words, tests.least, -(-int(tests.window.max()) // 3) * 3)
     if not len(starts):
         return none, none, none
     low, high = bounds(rows, tests.suffixes, tests.window)
     sizes = high - low
     which = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.repeat(low, sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    wanted = tests.suffixes[which]
-    same = (rows[at] == wanted) & (wanted != 0)
-    return starts[at], which, np.where(same.all(1), depth, same.argmin(1))
+    at = starts[np.repeat(low, sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    length = tests.window[which].copy()
+    tails = np.pad(tests.suffixes, ((0, 0), (0, 1)))
+    padded = np.append(words, 0)
+    going = np.arange(len(at))
+    while len(going):
+        ahead = tails[which[going], length[going]]
+        going = going[(ahead != 0) & (padded[np.minimum(at[going] + length[going], len(words))] == ahead)]
+        length[going] += 1
+    return at, which, length
+
+
+def matches(words: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every occurrence of every window: start position, test suffix, and words of the verbatim match from there."""
+    parts = []
+    for first in range(0, max(1, len(words)), SHARD_WORDS):
+        at, which, length = _matches(words[first : first + SHARD_WORDS + tests.suffixes.shape[1]], tests)
+        mine = at < SHARD_WORDS
+        parts.append((at[mine] + first, which[mine], length[mine]))
+    at, which, length = (np.concatenate(x) for x in zip(*parts))
+    return at, which, length
+
+
+def numbered(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The vocabulary's numbers of a text's words, 0 for others; cut between words, so that long texts need little room."""
+    clean, out, first = text.translate(_LOWER), [], 0
+    while first < len(clean):
+        last = clean.find(b" ", first + CHUNK_BYTES)
+        last = last if last >= 0 else len(clean)
+        words = clean[first:last].split()
+        out.append(np.fromiter(map(vocabulary.get, words, repeat(0)), np.int32, len(words)))
+        first = last
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def _shard(texts: list[bytes], tests: Tests) -> list[tuple]:
     """Results of one shard's documents: n_words, n_hit, spans, items, longest match."""
-    tokens = [words_of(t) for t in texts]
+    tokens = [numbered(t, tests.vocabulary) for t in texts]
     lengths = np.array([len(t) for t in tokens], np.int64)
-    known = tests.vocabulary.get
-    flat: list[int] = []
-    for t in tokens:
-        flat.extend(map(known, t, repeat(0)))
-        flat.append(0)
-    words = np.array(flat, np.int32)
+    words = np.concatenate([x for t in tokens for x in (t, np.zeros(1, np.int32))])
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     at, which, longest = matches(words, tests)
     cover = np.zeros(len(words) + 1, np.int32)
@@ -142,10 +165,10 @@ def _shard(texts: list[bytes], tests: Tests) -> list[tuple]:
     doc_of_match = np.searchsorted(begins, at, "right") - 1
     out: list[tuple] = [(int(n), 0, [], [], 0) for n in lengths]
     order = np.argsort(doc_of_match, kind="stable")
-    for d in np.unique(doc_of_match):
-        mine = order[slice(*np.searchsorted(doc_of_match[order], [d, d + 1]))]
+    hit_docs, firsts = np.unique(doc_of_match[order], return_index=True)
+    for d, mine in zip(hit_docs, np.split(order, firsts[1:]), strict=True) if len(hit_docs) else ():
         names = sorted({name for w in np.unique(which[mine]) for name in tests.items[w]})
-        own = spans[doc_of_span == d] if len(spans) < 1000 else spans[slice(*np.searchsorted(doc_of_span, [d, d + 1]))]
+        own = spans[slice(*np.searchsorted(doc_of_span, [d, d + 1]))]
         ranges = [{"start": int(a - begins[d]), "words": int(b - a)} for a, b in own]
         out[d] = (int(lengths[d]), sum(r["words"] for r in ranges), ranges, names, int(longest[mine].max()))
     return out
