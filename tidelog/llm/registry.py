@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, language_id, minhash, quality
+from . import chat_format, decontaminate, exact_dedup, language_id, minhash, quality, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.chat_segments(rows))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op6_minhash": op6_minhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_format": op8_chat_format,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
