@@ -17,7 +17,7 @@ LENGTH = 200
 #: Bytes of an anchor.
 GRAM = 50
 #: Occurrences of an anchor that one task sorts; those of commoner anchors go by hashed windows, without a group.
-CELL = 4096
+CELL = 1 << 16
 #: Bytes of a document that are hashed at a time.
 SEGMENT = 4 << 20
 
