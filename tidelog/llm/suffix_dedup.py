@@ -77,14 +77,44 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     return at, hashes[at]
 
 
+def periodic(data: np.ndarray, ends: np.ndarray, at: np.ndarray, hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which anchors to keep, and byte ranges that repeat themselves a period on.
+
+    Text of a period shorter than a window has an anchor each period. Every
+    window of such a range also starts a period before or behind, if the range
+    is longer than window and period together; so the range is covered as it
+    stands. Of its anchors those near its ends are kept: they stand for the
+    windows that leave the range, and for each rotation of the period.
+    """
+    keep, ranges = np.ones(len(at), bool), []
+    gap = np.diff(at)
+    end_of = ends[np.searchsorted(ends, at, "right")]
+    alike = (hashes[1:] == hashes[:-1]) & (end_of[1:] == end_of[:-1])
+    chained = alike[1:] & alike[:-1] & (gap[1:] == gap[:-1])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], chained.astype(np.int8), [0]])))
+    for first, last in zip(edges[::2], edges[1::2] + 1, strict=True):
+        period, low, high = int(gap[first]), int(at[first]), int(at[last])
+        if high + gram - low < length + period:
+            continue
+        same = data[low : high + gram - period] == data[low + period : high + gram]
+        if not same.all():
+            continue
+        ranges.append((low, high + gram))
+        keep[first : last + 1][(at[first : last + 1] >= low + length - gram + period) & (at[first : last + 1] <= high + gram - length)] = False
+    return keep, ranges
+
+
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """anchor, doc_id, doc_key, at; and the ranges that repeat themselves, as rows with ``stop``."""
+
     def of_long(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found: dict[int, int] = {}
         for first in range(0, len(own) - length + 1, SEGMENT - length + 1):
             part = own[first : first + SEGMENT]
             at, hashes = anchors(part, np.array([0, len(part)]), length, gram)
             found.update(zip((at + first).tolist(), hashes.tolist(), strict=True))
-        return np.array(list(found), np.int64), np.array(list(found.values()), np.uint64)
+        at = np.array(sorted(found), np.int64)
+        return at, np.array([found[x] for x in at.tolist()], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,20 +122,26 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for first, last in chunks(offsets, SEGMENT):
                 own, begins = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
                 at, hashes = of_long(own) if len(own) > SEGMENT and last - first == 1 else anchors(own, begins, length, gram)
+                keep, ranges = periodic(own, begins[1:], at, hashes, length, gram)
+                spans = np.array(ranges, np.int64).reshape(-1, 2)
+                at = np.concatenate([at[keep], spans[:, 0]])
+                hashes = np.concatenate([hashes[keep], mix64(spans[:, 0].astype(np.uint64))])
+                stop = np.concatenate([np.full(keep.sum(), -1, np.int64), spans[:, 1]])
                 doc = np.searchsorted(begins, at, "right") - 1
+                stop = np.where(stop < 0, -1, stop - begins[doc])
                 rows = pa.array(doc + first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - begins[doc])],
-                    names=["anchor", "doc_id", "doc_key", "at"],
+                    [pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - begins[doc]), pa.array(stop, mask=stop < 0)],
+                    names=["anchor", "doc_id", "doc_key", "at", "stop"],
                 )
 
-    return docs.mapInArrow(run, "anchor long, doc_id long, doc_key long, at long")
+    return docs.mapInArrow(run, "anchor long, doc_id long, doc_key long, at long, stop long")
 
 
 def _contexts(placed: DataFrame, length: int, gram: int) -> DataFrame:
     """Of each repeated anchor the bytes around it; the left ones reversed, unless it is hot."""
     before = length - gram
-    schema = "anchor long, hot boolean, doc_id long, doc_key long, at long, left binary, right binary"
+    schema = "anchor long, hot boolean, doc_id long, doc_key long, at long, stop long, left binary, right binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,6 +150,7 @@ def _contexts(placed: DataFrame, length: int, gram: int) -> DataFrame:
             ends = lists.offsets.to_numpy().astype(np.int64)
             flat = lists.values.slice(ends[0], ends[-1] - ends[0])
             fields = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("at", "anchor", "hot")}
+            stops = flat.field("stop")
             row = np.repeat(np.arange(len(batch)), np.diff(ends))
             place = fields["at"] + offsets[row]
             for first in range(0, len(row), 20_000):
@@ -124,8 +161,8 @@ def _contexts(placed: DataFrame, length: int, gram: int) -> DataFrame:
                 right = [data[a:b].tobytes() for a, b in zip(p, high, strict=True)]
                 rows = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fields["anchor"][part]), pa.array(fields["hot"][part]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(fields["at"][part]), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                    names=["anchor", "hot", "doc_id", "doc_key", "at", "left", "right"],
+                    [pa.array(fields["anchor"][part]), pa.array(fields["hot"][part]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(fields["at"][part]), stops.slice(first, len(r)), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    names=["anchor", "hot", "doc_id", "doc_key", "at", "stop", "left", "right"],
                 )
 
     return placed.select("doc_id", "doc_key", "text", "places").mapInArrow(run, schema)
@@ -198,6 +235,10 @@ def _covered(cells: DataFrame, length: int, gram: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            own = rows["stop"].is_valid().to_numpy()
+            if own.any():
+                yield from rows.filter(pa.array(own)).select(["doc_id", "doc_key", "at", "stop"]).rename_columns(["doc_id", "doc_key", "start", "stop"]).to_batches()
+                rows = rows.filter(pa.array(~own))
             group = rows["anchor"].to_numpy()
             low, high = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
             for depth, members, extension in maximal_repeats(group, rows["left"].to_pylist(), rows["right"].to_pylist(), length, gram):
@@ -228,7 +269,7 @@ def _covered(cells: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    return cells.select("anchor", "doc_id", "doc_key", "at", "left", "right").mapInArrow(run, "doc_id long, doc_key long, start long, stop long")
+    return cells.select("anchor", "doc_id", "doc_key", "at", "stop", "left", "right").mapInArrow(run, "doc_id long, doc_key long, start long, stop long")
 
 
 def _windows(hot: DataFrame, length: int, gram: int) -> DataFrame:
@@ -244,10 +285,11 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     """doc_id, doc_key, start, stop of byte ranges that repeated strings of ``length`` bytes cover: by suffix arrays, and by hash for anchors of over ``cell`` occurrences."""
     where = shared_dir(docs.sparkSession)
     found = _anchors(docs, length, gram)
-    often = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), where)
+    often = written(found.where(F.col("stop").isNull()).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), where)
 
     def around(kind: DataFrame, hot: bool) -> DataFrame:
-        places = found.join(kind.drop("n"), "anchor").groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("at", "anchor", F.lit(hot).alias("hot"))).alias("places"))
+        chosen = found.join(kind, "anchor", "left").where(F.col("n").isNotNull() & F.col("stop").isNull() | F.lit(not hot) & F.col("stop").isNotNull())
+        places = chosen.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("at", "anchor", F.lit(hot).alias("hot"), "stop")).alias("places"))
         return _contexts(docs.join(places, ["doc_id", "doc_key"]), length, gram)
 
     cells = around(often.where(F.col("n") <= cell), False).repartition("anchor").sortWithinPartitions("anchor")
@@ -265,6 +307,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
 
     Every window of ``length`` bytes holds an anchor, a least gram; only
     anchors that occur twice are looked at again, with the bytes around them.
+    Periodic text, which would have an anchor each period, is settled where it
+    stands.
     An anchor's occurrences meet in one task up to ``cell`` of them; of
     commoner ones every window is counted by its hash, which is partial before
     the shuffle and never gathers a group.
