@@ -19,7 +19,7 @@ GRAM = 50
 #: Occurrences of an anchor that one task sorts; those of commoner anchors go by hashed windows, without a group.
 CELL = 1 << 16
 #: Bytes of a document that are hashed at a time.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
