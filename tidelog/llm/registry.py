@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, suffix_dedup
+import corpus_pipeline
+
+from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, quality, sentencepiece, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(license_scan.document_paths(table(spark, sf_dir, "documents")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -44,11 +50,16 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.chat_segments(rows))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), sentencepiece.read_model())
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_language_id": op4_language_id,
@@ -56,7 +67,9 @@ QUERIES: dict[str, Query] = {
     "op6_minhash": op6_minhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
