@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import byte_values, chunks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words and pairs of pieces that a task remembers, before it forgets all and begins anew.
-MEMORY = 200_000
+#: Words, and pairs of pieces, that a task remembers before it forgets all and begins anew (under 300 MB and 50 MB).
+MEMORY = 1_000_000
+PAIR_MEMORY = 300_000
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 UNIGRAM, BPE = 1, 2
@@ -95,6 +96,7 @@ class Pieces:
         if _UNKNOWN in self.kinds:
             parts[self.unknown] = " ⁇ ".encode()
         self.plain = parts
+        self.tails = {t[i:] for t, k in zip(self.texts, self.kinds, strict=True) if k == _NORMAL for i in range(len(t))}
         self.whole_words = not any(_SPACE in t.lstrip(_SPACE) for t, k in zip(self.texts, self.kinds, strict=True) if k == _NORMAL)
 
     def merged(self, text: str) -> list[str]:
@@ -114,7 +116,7 @@ class Pieces:
         """Whether BPE leaves ``before`` and ``after`` as they are where they meet (``before`` may be empty)."""
         known = self.fits.get((before, after))
         if known is None:
-            if len(self.fits) >= MEMORY:
+            if len(self.fits) >= PAIR_MEMORY:
                 self.fits.clear()
             known = self.fits[before, after] = self.merged(before + after) == ([before, after] if before else [after])
         return known
@@ -133,23 +135,28 @@ class Pieces:
         held, base = "", 0  # characters from place base on
         came: dict[int, tuple[str, float]] = {0: ("", 0.0)}
         end = committed = 0
-        bpe = self.rule == BPE
+        bpe, ids, tails, fits = self.rule == BPE, self.ids, self.tails, self.fits
         for c in text:
             held += c
             end += 1
             best: tuple[str, float] | None = None
-            for size in range(min(self.longest, end - committed), 0, -1):
-                piece = held[end - size - base :]
-                number = self.ids.get(piece)
-                if number is None and size > 1 or (before := came.get(end - size)) is None:
+            for size in range(1, end - committed + 1):
+                piece = held[-size:]
+                if size > 1:
+                    if piece not in tails:
+                        break
+                    if piece not in ids:
+                        continue
+                if (before := came.get(end - size)) is None:
                     continue
                 if bpe:
-                    if self.neighbours(before[0], piece):
+                    fit = fits.get((before[0], piece))
+                    if fit or fit is None and self.neighbours(before[0], piece):
                         best = (piece, 0.0)
                         break
                 else:
-                    score = before[1] + (self.missing if number is None else self.scores[number])
-                    if best is None or score > best[1]:
+                    score = before[1] + (self.scores[ids[piece]] if piece in ids else self.missing)
+                    if best is None or score >= best[1]:
                         best = (piece, score)
             if best is not None:
                 came[end] = best
