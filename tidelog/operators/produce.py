@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,27 +63,39 @@ def tag_segments(log: DataFrame, offsets: int) -> DataFrame:
     return log.withColumn("segment_base", F.col("offset") - F.col("offset") % offsets)
 
 
-def _fold(sizes: Column, limit: int, closes_after: bool) -> Column:
-    """Group number of each size: a running sum that begins anew, after an element that fills it or before one that would overfill it."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, size: Column) -> Column:
-        if closes_after:
-            total = acc["sum"] + size
-            full = total >= limit
-            return F.struct(F.when(full, F.lit(0)).otherwise(total).cast("long").alias("sum"), (acc["no"] + full.cast("int")).alias("no"), F.concat(acc["out"], F.array(acc["no"])).alias("out"))
-        over = (acc["sum"] > 0) & (acc["sum"] + size > limit)
-        number = acc["no"] + over.cast("int")
-        return F.struct(F.when(over, size).otherwise(acc["sum"] + size).cast("long").alias("sum"), number.alias("no"), F.concat(acc["out"], F.array(number)).alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
-
-
 def _folded(df: DataFrame, group: Sequence[str], order: str, size: str, limit: int, name: str, closes_after: bool) -> DataFrame:
-    """A greedy fold depends on all sizes before, so one partition's sizes (two numbers a row) meet in one row."""
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("rows"))
-    numbered = rows.select(*group, F.col("rows.o").alias("o"), _fold(F.col("rows.s"), limit, closes_after).alias("no"))
-    return numbered.select(*group, F.explode(F.arrays_zip("o", "no")).alias("x")).select(*group, F.col("x.o").alias(order), F.col("x.no").alias(name))
+    """A running sum that begins anew: after the row that fills it, or before one that would overfill it.
+
+    Each number depends on all rows before, which no built-in function tells.
+    Rows are dealt out by group and sorted (spilling if need be); a task then
+    carries one sum along, whatever the group's length.
+    """
+    names = [*group, order, size]
+    rows = df.select(*group, F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size)).repartition(*group).sortWithinPartitions(*group, order)
+    kinds = dict(rows.dtypes)
+    n = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, number = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True))
+            out = []
+            for key, s in zip(keys, batch.column(n + 1).to_pylist(), strict=True):
+                if key != last:
+                    last, total, number = key, 0, 0
+                if closes_after:
+                    out.append(number)
+                    total += s
+                    if total >= limit:
+                        total, number = 0, number + 1
+                else:
+                    if total and total + s > limit:
+                        total, number = 0, number + 1
+                    out.append(number)
+                    total += s
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(out, pa.int64())], names=[*names[: n + 1], name])
+
+    return rows.mapInArrow(run, ", ".join([*[f"{x} {kinds[x]}" for x in names[: n + 1]], f"{name} long"]))
 
 
 def close_batches(df: DataFrame, size: str, batch_bytes: int, order: str = "offset", group: Sequence[str] = TP) -> DataFrame:
