@@ -18,8 +18,9 @@ MAX_GRAMS = 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on.
 FLUSH_GRAMS = 2_000_000
 #: A document is rejected when its cross-entropy lies this many times as far over its language's mean as all but a
-#: thousandth of the training documents, and at least half as far as text of another language does.
+#: thousandth of the training documents, and over GAP_FACTOR times as far as text of that language lies for the next one.
 REJECT_FACTOR = 2.0
+GAP_FACTOR = 1.5
 _SHIFT = np.uint64(16)
 
 
@@ -220,14 +221,15 @@ def calibrate(found: Identifier, docs: DataFrame, factor: float = REJECT_FACTOR)
     """Learns when to reject, from the cross-entropies of all training documents in their own language.
 
     A document of n characters strays from its language's mean as 1 / sqrt(n):
-    the limit is a multiple of that, but at least half the mean distance to the
-    next best language (a bit a character, if there is no other).
+    the limit is a multiple of that, but at least GAP_FACTOR times the mean
+    distance to the next best language (two bits a character, if there is no
+    other), so that text of two languages is no reason to reject.
     """
     scored = _scored(found, docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")).where(F.col("bits").isNotNull() & (F.col("lang_pred") == F.col("lang")))
     mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     rows = {r.lang: r for r in scored.groupBy("lang").agg(mean("bits").alias("mean"), mean("next_bits").alias("next")).collect()}
     found.mean = np.array([rows[x].mean if x in rows else 8.0 for x in found.langs])
-    found.gap = np.array([(rows[x].next - rows[x].mean) / 2 if x in rows and rows[x].next is not None else 1.0 for x in found.langs])
+    found.gap = np.array([GAP_FACTOR * (rows[x].next - rows[x].mean) if x in rows and rows[x].next is not None else 2.0 for x in found.langs])
     means = F.element_at(F.create_map(*[F.lit(v) for x in zip(found.langs, map(float, found.mean)) for v in x]), F.col("lang"))
     strays = scored.groupBy("lang").agg(F.percentile_approx((F.col("bits") - means) * F.sqrt("n"), 0.999, 10000).alias("z"))
     top = {r.lang: r.z for r in strays.collect()}
