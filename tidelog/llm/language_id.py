@@ -17,10 +17,13 @@ ORDER = 4
 MAX_GRAMS = 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on.
 FLUSH_GRAMS = 2_000_000
-#: A document is rejected when its cross-entropy lies this many times as far over its language's mean as all but a
-#: thousandth of the training documents, and over GAP_FACTOR times as far as text of that language lies for the next one.
+#: A document is rejected when its cross-entropy lies over its language's mean by more than GAP_FACTOR times the mean
+#: distance to the next language and, as short texts stray, REJECT_FACTOR times what all but a thousandth of the training
+#: documents stray beyond that.
 REJECT_FACTOR = 2.0
-GAP_FACTOR = 1.5
+GAP_FACTOR = 2.0
+#: Bits a character that this distance is at most: models of few documents lie far apart.
+GAP_MOST = 3.0
 _SHIFT = np.uint64(16)
 
 
@@ -220,20 +223,22 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Identifier | None:
 def calibrate(found: Identifier, docs: DataFrame, factor: float = REJECT_FACTOR) -> Identifier:
     """Learns when to reject, from the cross-entropies of all training documents in their own language.
 
-    A document of n characters strays from its language's mean as 1 / sqrt(n):
-    the limit is a multiple of that, but at least GAP_FACTOR times the mean
+    The limit is a distance that all texts may have, GAP_FACTOR times the mean
     distance to the next best language (two bits a character, if there is no
-    other), so that text of two languages is no reason to reject.
+    other), so that text of two languages is no reason to reject; and one that
+    falls as 1 / sqrt(n) with the characters: of training documents, and four
+    times the mean at least.
     """
     scored = _scored(found, docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")).where(F.col("bits").isNotNull() & (F.col("lang_pred") == F.col("lang")))
     mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     rows = {r.lang: r for r in scored.groupBy("lang").agg(mean("bits").alias("mean"), mean("next_bits").alias("next")).collect()}
     found.mean = np.array([rows[x].mean if x in rows else 8.0 for x in found.langs])
-    found.gap = np.array([GAP_FACTOR * (rows[x].next - rows[x].mean) if x in rows and rows[x].next is not None else 2.0 for x in found.langs])
+    found.gap = np.array([min(GAP_MOST, GAP_FACTOR * (rows[x].next - rows[x].mean)) if x in rows and rows[x].next is not None else 2.0 for x in found.langs])
     means = F.element_at(F.create_map(*[F.lit(v) for x in zip(found.langs, map(float, found.mean)) for v in x]), F.col("lang"))
-    strays = scored.groupBy("lang").agg(F.percentile_approx((F.col("bits") - means) * F.sqrt("n"), 0.999, 10000).alias("z"))
+    gaps = F.element_at(F.create_map(*[F.lit(v) for x in zip(found.langs, map(float, found.gap)) for v in x]), F.col("lang"))
+    strays = scored.groupBy("lang").agg(F.percentile_approx((F.col("bits") - means - gaps) * F.sqrt("n"), 0.999, 10000).alias("z"))
     top = {r.lang: r.z for r in strays.collect()}
-    found.limit = np.array([factor * max(top.get(x) or 0.0, 1.0) for x in found.langs])
+    found.limit = np.array([max(factor * (top.get(x) or 0.0), 4 * m) for x, m in zip(found.langs, found.mean, strict=True)])
     return found
 
 
@@ -260,7 +265,7 @@ def _scored(found: Identifier | None, docs: DataFrame) -> DataFrame:
                     score = np.where(blank, 0, 1 / odds.sum(1))
                     rejected = blank.copy()
                     if model.limit is not None:
-                        rejected |= low - model.mean[best] > np.maximum(model.limit[best] / np.sqrt(np.maximum(n, 1)), model.gap[best])
+                        rejected |= low - model.mean[best] > model.gap[best] + model.limit[best] / np.sqrt(np.maximum(n, 1))
                     bits = np.where(blank, np.nan, low)
                     other = np.where(blank, np.nan, np.partition(entropy, 1, 1)[:, 1]) if len(model.langs) > 1 else [None] * size
                 yield pa.RecordBatch.from_arrays(
