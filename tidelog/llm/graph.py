@@ -17,9 +17,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: of each node on an edge (u, v), the smallest node that it can reach.
 
     Each round is two grouped minima, which are partial before their shuffle,
-    and two equi-joins that adaptive execution may split where a node is hot.
-    A round's edges are written to the shared folder, so that lineage stays
-    short and a lost executor costs no more than a round. Edges with a null
+    and two equi-joins. Minima and edges are written to the shared folder: so
+    the joins deal out both sides anew, which adaptive execution may split
+    where a node is hot, lineage stays short, and a lost executor costs no more
+    than a round. Edges with a null
     end are left out. The returned table is read from that folder.
     """
     spark, where = edges.sparkSession, shared_dir(edges.sparkSession)
@@ -27,15 +28,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now, state, old = written(now, f"{where}/0"), None, None
     for i in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")), f"{where}/{i}-least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, f"{where}/{i}-large")
+        smallest = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{where}/{i}-smallest")
         small = large.join(smallest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
         after = written(after, f"{where}/{i}")
-        if old:
-            dropped(spark, old)
+        for done in [f"{where}/{i}-{x}" for x in ("least", "large", "smallest")] + [old] * bool(old):
+            dropped(spark, done)
         old, now = f"{where}/{i - 1}", after
         if (new := _state(after)) == state:
             break

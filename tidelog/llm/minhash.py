@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = SHINGLE,
     where = shared_dir(spark)
     sketch = written(sketches(docs, size=size, bands=bands, rows=rows), f"{where}/sketches")
     full = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), f"{where}/classes")
     members = written(full.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), f"{where}/members")
 
     keys = members.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
