@@ -167,8 +167,8 @@ def license_scan(files: DataFrame, *, templates: dict[str, tuple[str, ...]] = TE
     licensed = placed.where(is_file & F.col("directory").isNotNull()).groupBy(F.col("directory").alias("above")).agg(best.alias("b")).select("above", F.col("b.license").alias("given"))
     directories = placed.where(F.col("directory").isNotNull()).select("directory").distinct()
     steps = directories.select("directory", F.posexplode(ancestors(F.col("directory"))).alias("distance", "above"))
-    nearest = steps.join(licensed, "above").groupBy("directory").agg(F.min(F.struct("distance", "above", "given")).alias("near"))
-    joined = placed.join(nearest, "directory", "left")
+    nearest = written(steps.join(licensed, "above").groupBy("directory").agg(F.min(F.struct("distance", "above", "given")).alias("near")), f"{where}-nearest")
+    joined = placed.join(nearest, "directory", "left")  # a table of its own: a hot directory's files may be split
     inherits = F.col("own_license").isNull()
     return joined.select(
         "doc_id", "path", "own_license", "cosine", F.coalesce("own_license", "near.given").alias("license"),
