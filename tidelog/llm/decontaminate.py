@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_values, chunks
+from .common import CHUNK_BYTES, byte_values, chunks, shared_dir, written
 
 #: Words in a window.
 WINDOW = 10
@@ -268,5 +268,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int =
     """
     long_enough = benchmark.where(F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " ")) >= window)
     bad = find_contamination(docs, long_enough, window=window).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("doc_key").alias("__bad_key")).distinct()
+    bad = written(bad, shared_dir(docs.sparkSession))
     same = F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("doc_id", "text") == F.col("__bad_key"))
     return docs.join(bad, same, "left_anti")
