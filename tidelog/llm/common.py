@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, as rows are whole texts; another value that is set stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

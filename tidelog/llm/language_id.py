@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, is_held_out, mix64
+from .common import byte_values, chunks, is_held_out, mix64, small_batches
 
 ORDER = 4
 #: n-grams of all languages that a model may hold; over it, n-grams of the lowest counts are left out of the model.
@@ -294,6 +294,7 @@ def identify(docs: DataFrame, found: Identifier | None) -> DataFrame:
 
 def learn(docs: DataFrame) -> Identifier | None:
     """Models and rejection limits from the rows that are not held out."""
+    small_batches(docs.sparkSession)
     training = docs.where(~is_held_out() | F.col("doc_id").isNull())
     found = fit(training)
     return found and calibrate(found, training)

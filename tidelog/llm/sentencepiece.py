@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import byte_values, chunks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words, and pairs of pieces, that a task remembers before it forgets all and begins anew (under 200 MB and 50 MB).
-MEMORY = 800_000
+#: Words, and pairs of pieces, that a task remembers before it forgets all and begins anew (under 100 MB and 50 MB).
+MEMORY = 400_000
 PAIR_MEMORY = 300_000
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
