@@ -10,12 +10,13 @@ from tidelog.llm.common import shared_dir, table, written
 
 #: The model file of the last stage.
 PIECES = sentencepiece.MODEL_PATH
+#: Words that its tasks remember: less than by itself, as workers also hold what earlier stages needed.
+WORDS = 400_000
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus has; text that no model explains goes."""
     found = language_id.identify(docs, language_id.learn(docs)).where("rejected").select(F.col("doc_id").alias("bad_id"), "doc_key").distinct()
-    found = written(found, shared_dir(spark))  # so its size is known: a small one is broadcast, and documents stay where they are
     same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("doc_key"))
     return docs.join(found, same, "left_anti")
 
@@ -30,7 +31,6 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest id."""
     gone = minhash.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    gone = written(gone, shared_dir(spark))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -41,7 +41,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and its ids, with the digests of a decoded copy."""
-    return sentencepiece.round_trip(docs, sentencepiece.read_model(PIECES))
+    return sentencepiece.round_trip(docs, sentencepiece.read_model(PIECES), words=WORDS)
 
 
 STAGES = [

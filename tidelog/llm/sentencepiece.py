@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import byte_values, chunks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words, and pairs of pieces, that a task remembers before it forgets all and begins anew (under 100 MB and 50 MB).
-MEMORY = 400_000
+#: Words, and pairs of pieces, that a task remembers before it forgets all and begins anew (about 225 MB and 50 MB).
+MEMORY = 1_000_000
 PAIR_MEMORY = 300_000
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
@@ -63,6 +63,7 @@ class Pieces:
     dummy_prefix: bool
     ids: dict[str, int] = field(default_factory=dict)
     words: dict[str, bytes] = field(default_factory=dict)
+    memory: int = MEMORY
     fits: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     @classmethod
@@ -204,7 +205,7 @@ class Pieces:
         ids = list(self._numbers(self.search(word)))
         packed = struct.pack(f"<{len(ids)}i", *ids)
         if len(word) <= 40:
-            if len(self.words) >= MEMORY:
+            if len(self.words) >= self.memory:
                 self.words.clear()
             self.words[key] = packed
         return packed
@@ -247,13 +248,14 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def _mapped(docs: DataFrame, model: bytes, make: Callable[[Pieces, list[str]], dict[str, pa.Array]], schema: str) -> DataFrame:
+def _mapped(docs: DataFrame, model: bytes, make: Callable[[Pieces, list[str]], dict[str, pa.Array]], schema: str, words: int = MEMORY) -> DataFrame:
     if len(model) > 64 << 20:
         raise ValueError("a model file of over 64 MB is not broadcast")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
+        pieces.memory = words
         for batch in batches:
             _, offsets = byte_values(batch.column(1))
             for first, last in chunks(offsets, 1 << 20):
@@ -281,7 +283,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
+def round_trip(docs: DataFrame, model: bytes, *, words: int = MEMORY) -> DataFrame:
     """doc_id, n_ids, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 (of the decoded text), exact.
 
     ``exact`` is false only for texts with U+2581, which stands for a blank
@@ -298,4 +300,4 @@ def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
         return {n: pa.array(c, k) for n, c, k in zip(("n_ids", "ids_sha256", "decoded_sha256", "exact"), zip(*rows), kinds, strict=True)}
 
-    return _mapped(docs, model, made, "n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return _mapped(docs, model, made, "n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean", words)
