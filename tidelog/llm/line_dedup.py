@@ -42,6 +42,16 @@ def chunked(text: Column, divisor: int = DIVISOR) -> Column:
     return _let(F.split(text, "\n", -1), of)
 
 
+def _without(items: Column, gone: Column) -> Column:
+    """The items whose places the sorted array ``gone`` does not list: the runs between them, in one pass."""
+
+    def run(j: Column) -> Column:
+        first = F.coalesce(F.get(gone, j - 1) + 1, F.lit(0))
+        return F.slice(items, first + 1, F.coalesce(F.get(gone, j), F.array_size(items)) - first)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.array_size(gone)), run))
+
+
 def line_dedup(docs: DataFrame, *, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without repeated chunks, and n_lines, n_removed_lines, n_chunks, n_removed_chunks.
 
@@ -58,25 +68,26 @@ def line_dedup(docs: DataFrame, *, divisor: int = DIVISOR, id_col: str = "doc_id
     have a result's name are replaced.
     """
     names = docs.columns
-    rows = packed(docs, doc_id=F.col(id_col), doc_key=document_key(id_col, text_col), body=F.col(text_col))
-    pieces = rows.where(F.col("body").isNotNull()).select("doc_id", "doc_key", F.explode(chunked(F.col("body"), divisor)).alias("c")).select("doc_id", "doc_key", "c.*").where(F.col("lines") > 1)
+    rows = packed(docs, doc_id=F.col(id_col), doc_key=document_key(id_col, text_col))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), document_key(id_col, text_col).alias("doc_key"), F.col(text_col).alias("body"))
+    pieces = texts.select("doc_id", "doc_key", F.posexplode(chunked(F.col("body"), divisor)).alias("place", "c")).select("doc_id", "doc_key", "place", "c.lines", "c.body").where(F.col("lines") > 1)
     keys = {"h1": F.xxhash64("body"), "h2": F.xxhash64(F.lit("second half"), "body")}
-    place = F.struct("doc_id", "doc_key", "first")
+    place = F.struct("doc_id", "doc_key", "place")
     groups = (
         pieces.withColumns(keys).groupBy("h1", "h2", "body").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > 1).select("h1", "h2", F.md5("body").alias("h3"), "keep")
     )
-    light = pieces.select("doc_id", "doc_key", "first", *[c.alias(k) for k, c in keys.items()], F.md5("body").alias("h3"))
+    light = pieces.select("doc_id", "doc_key", "place", *[c.alias(k) for k, c in keys.items()], F.md5("body").alias("h3"))
     gone = light.join(groups, ["h1", "h2", "h3"]).where(~place.eqNullSafe(F.col("keep")))
-    gone = gone.groupBy("doc_key", F.col("doc_id").alias("gone_id")).agg(F.collect_set("first").alias("gone"))
+    gone = gone.groupBy("doc_key", F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_set("place")).alias("gone"))
     same = (rows["doc_key"] == gone["doc_key"]) & rows["doc_id"].eqNullSafe(gone["gone_id"])
-    both = rows.join(gone, same, "left").select("row", chunked(F.col("body"), divisor).alias("chunks"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    out = both.select("row", "chunks", F.filter("chunks", lambda c: F.array_contains("gone", c["first"])).alias("removed"), F.filter("chunks", lambda c: ~F.array_contains("gone", c["first"])).alias("left"))
-    lines = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["lines"]), F.lit(0).cast("long"))
-    found = out.select(
-        "row", F.array_join(F.transform("left", lambda c: c["body"]), "\n").alias(text_col),
-        lines(F.col("chunks")).alias("n_lines"), lines(F.col("removed")).alias("n_removed_lines"),
-        F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n_chunks"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed_chunks"),
+    both = rows.join(gone, same, "left").select("row", chunked(F.col("row")[text_col], divisor).alias("chunks"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    lines = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + c["lines"])
+    removed = F.aggregate("gone", F.lit(0).cast("long"), lambda n, k: n + F.get(F.col("chunks"), k)["lines"])
+    found = both.select(
+        "row", F.array_join(F.transform(_without(F.col("chunks"), F.col("gone")), lambda c: c["body"]), "\n").alias(text_col),
+        F.coalesce(lines, F.lit(0).cast("long")).alias("n_lines"), removed.alias("n_removed_lines"),
+        F.coalesce(F.array_size("chunks"), F.lit(0)).cast("long").alias("n_chunks"), F.array_size("gone").cast("long").alias("n_removed_chunks"),
     )
     counts = ["n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks"]
     return unpacked(found, names, text_col, *counts).select(*[c for c in names if c not in counts], *counts)
