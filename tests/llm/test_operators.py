@@ -177,6 +177,19 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language_id.identify(docs(spark, [(1, "anything", None, None, 1)]), one).collect()} == {"en"}
 
 
+@pytest.mark.parametrize("most", [0, 2_000, 9_000])
+def test_language_tables_are_the_models(spark, most):
+    rows = sample(spark).select("doc_id", "text", "lang", "source", "n_chars").where("doc_id % 2 = 0 OR text IS NULL").unionAll(docs(spark))
+    held, tables = language_id.learn(rows), language_id.learn(rows, most)
+    assert held.tables is None and tables.tables is not None and tables.models == [] and len(tables.known.values) * len(tables.langs) <= most
+    assert tables.langs == held.langs and tables.mean == pytest.approx(held.mean, rel=1e-5) and tables.limit == pytest.approx(held.limit, rel=1e-3)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.doc_key)
+    want, got = (sorted(language_id.identify(rows, x).collect(), key=key) for x in (held, tables))
+    assert [(r.doc_id, r.doc_key, r.held_out, r.lang_pred, r.rejected) for r in got] == [(r.doc_id, r.doc_key, r.held_out, r.lang_pred, r.rejected) for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a.score == pytest.approx(b.score, abs=1e-5) and (a.bits is None) == (b.bits is None) and (a.bits is None or a.bits == pytest.approx(b.bits, rel=1e-5))
+
+
 def test_model_is_a_distribution():
     keys, n = language_id.np.unique(language_id.grams(["the cat sat on the mat", "then the rat"])[0], return_counts=True)
     model = language_id.Model.fit(keys, n.astype(float))

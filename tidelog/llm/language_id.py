@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, is_held_out, mix64, small_batches
+from .common import byte_values, chunks, is_held_out, mix64, shared_dir, small_batches, written
 
 ORDER = 4
-#: n-grams of all languages that a model may hold; over it, n-grams of the lowest counts are left out of the model.
+#: n-grams of all languages that tasks are sent. Beyond it the models stay tables: tasks are sent the most frequent
+#: n-grams, and the others are answered by joins, with the same probabilities.
 MAX_GRAMS = 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on.
 FLUSH_GRAMS = 2_000_000
@@ -176,44 +177,126 @@ class Model:
         return p + weight * self.prob(keys & np.uint64((1 << (16 * (order - 1))) - 1), level + 1)
 
 
+def _by_lang(values: dict[str, float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for x in values.items() for v in x]), F.col("lang"))
+
+
+@dataclass
+class Tables:
+    """What :class:`Model` holds, as tables: ``own`` by lang and n-gram, ``rest`` by lang and context, for each order."""
+
+    own: list[DataFrame]
+    rest: list[DataFrame]
+    floor: dict[str, float]
+
+    @classmethod
+    def fit(cls, counted: DataFrame) -> Tables:
+        where, own, rest, now = shared_dir(counted.sparkSession), [], [], counted
+        for order in range(ORDER, 0, -1):
+            rows = now.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count("*").alias("all")).collect()
+            cut = _by_lang({r.lang: min(0.95, max(0.1, r.n1 / (r.n1 + 2 * r.n2))) if r.n1 else 0.1 for r in rows})
+            floor = {r.lang: 1.0 / (r["all"] + 1) for r in rows}
+            with_context = now.withColumn("context", F.shiftrightunsigned("gram", 16))
+            contexts = written(with_context.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), f"{where}/contexts{order}")
+            part = F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total")
+            own.append(written(with_context.join(contexts, ["lang", "context"]).select("lang", "gram", part.alias("p")), f"{where}/own{order}"))
+            rest.append(contexts.select("lang", "context", (cut * F.col("kinds") / F.col("total")).alias("w")))
+            if order > 1:
+                shorter = F.col("gram").bitwiseAND(F.lit((1 << (16 * (order - 1))) - 1).cast("long"))
+                now = written(now.groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("n")), f"{where}/counts{order - 1}")
+        return cls(own, rest, floor)
+
+    def bits(self, needed: DataFrame, langs: list[str]) -> DataFrame:
+        """``gram`` of the distinct n-grams in ``needed``, and ``bits`` in each of ``langs``: one join an order and part."""
+        now = needed.select("gram", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang")).withColumn("q", _by_lang(self.floor))
+        for order in range(1, ORDER + 1):
+            suffix = F.col("gram") if order == ORDER else F.col("gram").bitwiseAND(F.lit((1 << (16 * order)) - 1).cast("long"))
+            own = self.own[ORDER - order].withColumnRenamed("gram", "suffix")
+            now = now.withColumn("suffix", suffix).withColumn("context", F.shiftrightunsigned("suffix", 16))
+            now = now.join(own, ["lang", "suffix"], "left").join(self.rest[ORDER - order], ["lang", "context"], "left")
+            now = now.select("gram", "lang", (F.coalesce("p", F.lit(0.0)) + F.coalesce("w", F.lit(1.0)) * F.col("q")).alias("q"))
+        each = F.map_from_entries(F.collect_list(F.struct("lang", -F.log2("q"))))
+        return now.groupBy("gram").agg(each.alias("m")).select("gram", F.array(*[F.element_at("m", F.lit(x)) for x in langs]).alias("bits"))
+
+
 @dataclass
 class Identifier:
     langs: list[str]
     models: list[Model]
-    known: Sorted  # every n-gram of any language; values: bits in each language
+    known: Sorted  # n-grams of any language, every one if there are models; values: bits in each language
+    tables: Tables | None = None
     mean: np.ndarray | None = None
     limit: np.ndarray | None = None
     gap: np.ndarray | None = None
 
+    def known_bits(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each n-gram in each language, and the places of those that are not known, of zeros for now."""
+        if len(self.known.values) == 0:
+            return np.zeros((len(key), len(self.langs)), np.float32), np.arange(len(key))
+        at, there = self.known.find(_hashed(key, ORDER))
+        bits = self.known.values[np.where(there, at, 0)]
+        lost = np.flatnonzero(~there)
+        bits[lost] = 0
+        return bits, lost
+
+    def sums(self, bits: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        return np.stack([np.bincount(doc, bits[:, i], docs) for i in range(len(self.langs))], 1)
+
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits a character in each language (documents x languages), characters and letters of each document."""
         key, doc, n_letters = grams(texts)
-        at, there = self.known.find(_hashed(key, ORDER))
-        bits = self.known.values[np.where(there, at, 0)]
-        if len(lost := np.flatnonzero(~there)):
+        bits, lost = self.known_bits(key)
+        if len(lost):
             seen, back = np.unique(key[lost], return_inverse=True)
             bits[lost] = np.stack([-np.log2(m.prob(seen)) for m in self.models], 1)[back]
         n = np.bincount(doc, minlength=len(texts))
-        sums = np.stack([np.bincount(doc, bits[:, i], len(texts)) for i in range(len(self.langs))], 1)
-        return sums / np.maximum(n, 1)[:, None], n, n_letters
+        return self.sums(bits, doc, len(texts)) / np.maximum(n, 1)[:, None], n, n_letters
+
+    def judged(self, entropy: np.ndarray, n: np.ndarray, n_letters: np.ndarray) -> list[pa.Array]:
+        """lang_pred, score, bits, next_bits, n, rejected."""
+        best, blank = entropy.argmin(1), n_letters == 0
+        names = ["und" if b else self.langs[i] for i, b in zip(best, blank, strict=True)]
+        low = entropy[np.arange(len(n)), best]
+        odds = np.exp2(-(entropy - low[:, None]) * np.sqrt(n)[:, None])
+        rejected = blank.copy()
+        if self.limit is not None:
+            rejected |= low - self.mean[best] > self.gap[best] + self.limit[best] / np.sqrt(np.maximum(n, 1))
+        other = np.where(blank, np.nan, np.partition(entropy, 1, 1)[:, 1]) if len(self.langs) > 1 else [None] * len(n)
+        bits = np.where(blank, np.nan, low)
+        return [
+            pa.array(names, pa.string()), pa.array(np.where(blank, 0, 1 / odds.sum(1)), pa.float64()), pa.array(bits, pa.float64(), from_pandas=True),
+            pa.array(other, pa.float64(), from_pandas=True), pa.array(n, pa.int64()), pa.array(rejected),
+        ]
+
+
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy(np.int64).view(np.uint64)
 
 
 def fit(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Identifier | None:
-    """Counts over every row of ``docs`` with text and lang; only the models, of ``max_grams`` n-grams at most, come to the driver."""
+    """Models of the counts over every row of ``docs`` with text and lang; ``max_grams`` n-grams at most come to the driver.
+
+    No count is left out: of more n-grams than that, the models are
+    :class:`Tables`, and only the most frequent n-grams come, with the bits
+    that the tables give them.
+    """
     counted = count_grams(docs).persist()
     try:
-        least, total = 1, counted.count()
-        while total > max_grams:
-            least *= 2
-            total = counted.where(F.col("n") >= least).count()
-        pairs = counted.where(F.col("n") >= least).toPandas()
+        if counted.count() > max_grams:
+            tables = Tables.fit(counted)
+            langs, least = sorted(tables.floor), 2
+            while (often := counted.where(F.col("n") >= least).select("gram").distinct()).count() * len(langs) > max_grams:
+                least *= 2
+            head = tables.bits(often, langs).toPandas()
+            bits = np.array(head["bits"].tolist(), np.float32).reshape(-1, len(langs))
+            return Identifier(langs, [], Sorted.of(_hashed(_unsigned(head["gram"]), ORDER), bits), tables)
+        pairs = counted.toPandas()
     finally:
         counted.unpersist()
     models: dict[str, Model] = {}
-    union = np.unique(pairs["gram"].to_numpy(np.int64).view(np.uint64))
+    union = np.unique(_unsigned(pairs["gram"]))
     for lang, own in sorted(pairs.groupby("lang"), key=lambda x: x[0]):
-        keys = own["gram"].to_numpy(np.int64).view(np.uint64)
-        models[lang] = Model.fit(keys, own["n"].to_numpy(np.float64))
+        models[lang] = Model.fit(_unsigned(own["gram"]), own["n"].to_numpy(np.float64))
     if not models:
         return None
     bits = np.stack([-np.log2(m.prob(union)) for m in models.values()], 1).astype(np.float32)
@@ -234,17 +317,22 @@ def calibrate(found: Identifier, docs: DataFrame, factor: float = REJECT_FACTOR)
     rows = {r.lang: r for r in scored.groupBy("lang").agg(mean("bits").alias("mean"), mean("next_bits").alias("next")).collect()}
     found.mean = np.array([rows[x].mean if x in rows else 8.0 for x in found.langs])
     found.gap = np.array([min(GAP_MOST, GAP_FACTOR * (rows[x].next - rows[x].mean)) if x in rows and rows[x].next is not None else 2.0 for x in found.langs])
-    means = F.element_at(F.create_map(*[F.lit(v) for x in zip(found.langs, map(float, found.mean)) for v in x]), F.col("lang"))
-    gaps = F.element_at(F.create_map(*[F.lit(v) for x in zip(found.langs, map(float, found.gap)) for v in x]), F.col("lang"))
+    means, gaps = (_by_lang(dict(zip(found.langs, map(float, x), strict=True))) for x in (found.mean, found.gap))
     strays = scored.groupBy("lang").agg(F.percentile_approx((F.col("bits") - means - gaps) * F.sqrt("n"), 0.999, 10000).alias("z"))
     top = {r.lang: r.z for r in strays.collect()}
     found.limit = np.array([max(factor * (top.get(x) or 0.0), 4 * m) for x, m in zip(found.langs, found.mean, strict=True)])
     return found
 
 
+_JUDGED = "doc_id long, lang string, doc_key long, lang_pred string, score double, bits double, next_bits double, n long, rejected boolean"
+_NAMES = [x.split()[0] for x in _JUDGED.split(", ")]
+
+
 def _scored(found: Identifier | None, docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    if found is not None and found.tables is not None:
+        return _scored_by_tables(found, rows)
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    schema = "doc_id long, lang string, doc_key long, lang_pred string, score double, bits double, next_bits double, n long, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -253,28 +341,54 @@ def _scored(found: Identifier | None, docs: DataFrame) -> DataFrame:
             for first, last in chunks(offsets):
                 size = last - first
                 part = batch.slice(first, size)
-                texts = [t or "" for t in part.column(3).to_pylist()]
                 if model is None:
-                    names, score, bits, other, n, rejected = ["und"] * size, np.zeros(size), [None] * size, [None] * size, np.zeros(size, np.int64), np.ones(size, bool)
+                    none = pa.nulls(size, pa.float64())
+                    judged = [pa.array(["und"] * size, pa.string()), pa.array(np.zeros(size)), none, none, pa.array(np.zeros(size, np.int64)), pa.array(np.ones(size, bool))]
                 else:
-                    entropy, n, n_letters = model.cross_entropy(texts)
-                    best, blank = entropy.argmin(1), n_letters == 0
-                    names = ["und" if b else model.langs[i] for i, b in zip(best, blank, strict=True)]
-                    low = entropy[np.arange(size), best]
-                    odds = np.exp2(-(entropy - low[:, None]) * np.sqrt(n)[:, None])
-                    score = np.where(blank, 0, 1 / odds.sum(1))
-                    rejected = blank.copy()
-                    if model.limit is not None:
-                        rejected |= low - model.mean[best] > model.gap[best] + model.limit[best] / np.sqrt(np.maximum(n, 1))
-                    bits = np.where(blank, np.nan, low)
-                    other = np.where(blank, np.nan, np.partition(entropy, 1, 1)[:, 1]) if len(model.langs) > 1 else [None] * size
+                    judged = model.judged(*model.cross_entropy([t or "" for t in part.column(3).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *judged], names=_NAMES)
+
+    return rows.mapInArrow(run, _JUDGED)
+
+
+def _scored_by_tables(found: Identifier, rows: DataFrame) -> DataFrame:
+    """As models that tasks hold would score: what tasks know is summed there, the other n-grams are joined with the tables."""
+    spark = rows.sparkSession
+    shared, tables, langs = spark.sparkContext.broadcast(replace(found, tables=None)), found.tables, found.langs
+
+    def sum_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            _, offsets = byte_values(batch.column(3))
+            for first, last in chunks(offsets):
+                part, size = batch.slice(first, last - first), last - first
+                key, doc, n_letters = grams([t or "" for t in part.column(3).to_pylist()])
+                bits, lost = model.known_bits(key)
+                order = lost[np.lexsort((key[lost], doc[lost]))]
+                begins = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1]))) if len(order) else order
+                pairs = pa.StructArray.from_arrays([pa.array(key[order][begins].view(np.int64)), pa.array(np.diff(np.append(begins, len(order))).astype(np.int64))], ["gram", "k"])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[order][begins], minlength=size))]).astype(np.int32)
+                sums = pa.ListArray.from_arrays(np.arange(size + 1, dtype=np.int32) * len(langs), pa.array(model.sums(bits, doc, size).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64(), from_pandas=True), pa.array(other, pa.float64(), from_pandas=True), pa.array(n, pa.int64()), pa.array(rejected)],
-                    names=[x.split()[0] for x in schema.split(", ")],
+                    [*part.columns[:3], part.column(4), pa.array(np.bincount(doc, minlength=size)), pa.array(n_letters), sums, pa.ListArray.from_arrays(ends, pairs)],
+                    names=["doc_id", "lang", "doc_key", "row", "n", "n_letters", "sums", "lost"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    return rows.mapInArrow(run, schema)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                sums = np.array(batch.column(5).to_pylist(), float)
+                n, n_letters = (batch.column(i).to_numpy() for i in (3, 4))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *model.judged(sums / np.maximum(n, 1)[:, None], n, n_letters)], names=_NAMES)
+
+    schema = "doc_id long, lang string, doc_key long, row long, n long, n_letters long, sums array<double>, lost array<struct<gram:long,k:long>>"
+    known = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(sum_known, schema), f"{shared_dir(spark)}/known")
+    lost = known.select("row", F.inline("lost"))
+    bits = tables.bits(lost.select("gram").distinct(), langs)
+    more = lost.join(bits, "gram").groupBy("row").agg(F.array(*[F.sum(F.col("k") * F.col("bits")[i]) for i in range(len(langs))]).alias("more"))
+    whole = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda a, b: a + b))
+    return known.drop("lost").join(more, "row", "left").select("doc_id", "lang", "doc_key", "n", "n_letters", whole.alias("sums")).mapInArrow(judge, _JUDGED)
 
 
 def identify(docs: DataFrame, found: Identifier | None) -> DataFrame:
@@ -292,9 +406,9 @@ def identify(docs: DataFrame, found: Identifier | None) -> DataFrame:
     return rows.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "bits", "rejected", "doc_key")
 
 
-def learn(docs: DataFrame) -> Identifier | None:
+def learn(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Identifier | None:
     """Models and rejection limits from the rows that are not held out."""
     small_batches(docs.sparkSession)
     training = docs.where(~is_held_out() | F.col("doc_id").isNull())
-    found = fit(training)
+    found = fit(training, max_grams)
     return found and calibrate(found, training)
