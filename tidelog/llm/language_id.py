@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, is_held_out, mix64, shared_dir, small_batches, written
+from .common import byte_values, chunks, dropped, is_held_out, mix64, shared_dir, small_batches, written
 
 ORDER = 4
 #: n-grams of all languages that tasks are sent. Beyond it the models stay tables: tasks are sent the most frequent
@@ -312,7 +312,9 @@ def calibrate(found: Identifier, docs: DataFrame, factor: float = REJECT_FACTOR)
     falls as 1 / sqrt(n) with the characters: of training documents, and four
     times the mean at least.
     """
+    where = shared_dir(docs.sparkSession)
     scored = _scored(found, docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")).where(F.col("bits").isNotNull() & (F.col("lang_pred") == F.col("lang")))
+    scored = written(scored.select("lang", "bits", "next_bits", "n"), f"{where}/scored")
     mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
     rows = {r.lang: r for r in scored.groupBy("lang").agg(mean("bits").alias("mean"), mean("next_bits").alias("next")).collect()}
     found.mean = np.array([rows[x].mean if x in rows else 8.0 for x in found.langs])
@@ -321,6 +323,7 @@ def calibrate(found: Identifier, docs: DataFrame, factor: float = REJECT_FACTOR)
     strays = scored.groupBy("lang").agg(F.percentile_approx((F.col("bits") - means - gaps) * F.sqrt("n"), 0.999, 10000).alias("z"))
     top = {r.lang: r.z for r in strays.collect()}
     found.limit = np.array([max(factor * (top.get(x) or 0.0), 4 * m) for x, m in zip(found.langs, found.mean, strict=True)])
+    dropped(docs.sparkSession, where)
     return found
 
 
