@@ -233,3 +233,15 @@ def test_values():
     assert clock.advance_ms(3) == 8
     with pytest.raises(ValueError):
         clock.advance_ms(-1)
+
+
+def test_linger_and_buffer(spark):
+    from tidelog import errors
+    from tidelog.operators import produce
+
+    waiting = spark.createDataFrame([("t", 0, 1, 100, 40), ("t", 0, 2, 50, 60), ("t", 1, 3, 91, 10), ("t", 2, 4, 90, 10)], "topic string, partition int, send_seq long, added_ms long, bytes long")
+    assert sorted(r.partition for r in produce.due_partitions(waiting, 100, 10).collect()) == [2]
+    assert sorted(r.partition for r in produce.due_partitions(waiting, 100, 0).collect()) == [0, 1, 2]
+    assert produce.checked_buffer(waiting, 120) == 120 and produce.checked_buffer(waiting.limit(0), 0) == 0
+    with pytest.raises(errors.ProducerBufferFull):
+        produce.checked_buffer(waiting, 119)

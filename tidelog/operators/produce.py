@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import errors
 from ..functions.scalars import keyed_partition
 
 TP = ("topic", "partition")
@@ -126,3 +127,17 @@ def index_floor(targets: DataFrame, index: DataFrame, target: str = "target", or
         targets.select(*group, F.col(target).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("position")))
     last = F.last("position", ignorenulls=True).over(Window.partitionBy(*group).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("floor", F.coalesce(last, F.lit(0))).where("__kind = 1").select(*group, F.col("__at").alias(target), F.col("floor").alias("position"))
+
+
+def due_partitions(pending: DataFrame, now_ms: int, linger_ms: int, group: Sequence[str] = TP) -> DataFrame:
+    """Partitions whose first waiting record (by send_seq) was added ``linger_ms`` ago or longer."""
+    first = pending.groupBy(*group).agg(F.min_by("added_ms", "send_seq").alias("first_ms"))
+    return first.where(F.lit(now_ms) - F.col("first_ms") >= linger_ms).select(*group)
+
+
+def checked_buffer(pending: DataFrame, buffer_bytes: int, size: str = "bytes") -> int:
+    """Bytes of all waiting records; more than ``buffer_bytes`` are an error."""
+    total = pending.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
+    if total > buffer_bytes:
+        raise errors.ProducerBufferFull(f"{total} bytes wait where {buffer_bytes} may")
+    return total
