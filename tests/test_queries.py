@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from tests.oracle import same
+from tests.oracle import expected, same
 from tidelog.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +18,25 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
+def test_batch_close_fold_is_the_whole_log(spark):
+    from tidelog.plans import fixture
+
+    where = "/root/testdata/sf0.01"
+    rows = sorted((r.partition, r.offset, r.size) for r in fixture.log(spark, where).select("partition", "offset", "size").collect())
+    want, total, no, last = [], 0, 0, None
+    for part, offset, size in rows:
+        if part != last:
+            last, total, no = part, 0, 0
+        want.append((part, offset, no))
+        total += size
+        if total >= 1000:
+            total, no = 0, no + 1
+    got = sorted((r.part, r.nth, r.no) for r in plans.QUERIES["batch_close_fold"](spark, where).collect())
+    assert len(got) == spark.read.parquet(f"{where}/events.parquet").count() and got == want
+    _, prefix = expected(plans.ORACLES["batch_close_fold"], where)
+    assert sorted(prefix) == [r for r in want if r[1] < 1500]  # what the SQL gives is a part of it
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
