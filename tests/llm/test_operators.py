@@ -99,6 +99,40 @@ def test_line_dedup_cases(spark):
     assert line_dedup.line_dedup(clash).columns == ["doc_id", "text", "gone", "body", "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks"]
 
 
+def without_pairs(rows):
+    seen, left = set(), {}
+    for key, text in rows:
+        lines = text.split("\n")
+        gone = set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if pair in seen:
+                gone |= {i, i + 1}
+            seen.add(pair)
+        left[key] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return left
+
+
+def test_passages_go_whole(spark):
+    passage = "\n".join(f"a line of the passage, number {i}" for i in range(3))
+    rows = [(i, f"own {i}\n{passage}\nend {i}\n" + "\n".join(f"{i} rest {k}" for k in range(i)), "en", "s", 1) for i in range(20, 30)]
+    rows += [(i, "\n".join(f"of {i % 5}: {k}" for k in range(2 + i % 5)), "en", "s", 1) for i in range(40, 60)]  # copies of two to six lines
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_dedup.passage_dedup(docs(spark, rows)).collect()}
+    assert got == without_pairs([(r[0], r[1]) for r in rows])
+    assert all(passage not in got[i][0] and got[i][2] == 3 for i in range(21, 30)) and all(got[i][0] == "" for i in range(45, 60))
+    assert any(r.text for r in line_dedup.line_dedup(docs(spark, rows)).collect() if r.doc_id >= 45)  # chunks leave scraps
+
+
+def test_passages_are_brute_force(spark):
+    rows = sorted((r.doc_id, r.text) for r in sample(spark).collect())
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_dedup.passage_dedup(sample(spark)).collect()}
+    assert got == without_pairs(rows) and sum(x[2] for x in got.values())
+    got = line_dedup.passage_dedup(docs(spark)).collect()
+    assert len(got) == len(NASTY) and {r.text for r in got if r.doc_id == 1} == {None} and [r.n_removed_lines for r in got if r.doc_id == 4] == [0, 0]
+    assert [(r.text, r.n_lines, r.n_removed_lines) for r in got if r.doc_id == 7] == [("", 4, 3)]
+    assert line_dedup.passage_dedup(docs(spark, [])).count() == 0
+    assert not re.search("Python|Arrow|Pandas", line_dedup.passage_dedup(sample(spark))._jdf.queryExecution().executedPlan().toString())
+
+
 # Decontamination
 
 

@@ -93,6 +93,42 @@ def line_dedup(docs: DataFrame, *, divisor: int = DIVISOR, id_col: str = "doc_id
     return unpacked(found, names, text_col, *counts).select(*[c for c in names if c not in counts], *counts)
 
 
+def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, the text without repeated passages of two lines or more, and n_lines, n_removed_lines.
+
+    Every two adjacent lines are judged, whatever surrounds them: both go where
+    the pair stands in an earlier place (smallest id, then line), so a repeated
+    passage goes whole, and a copy of several lines becomes empty. A line that
+    goes still stands in an earlier place. Pairs are grouped by 128 bits of hash.
+
+    Defined cases are those of :func:`line_dedup`; a pair may overlap with the
+    one before, so of a line repeated three times in a row one stays.
+    """
+    names = docs.columns
+    rows = packed(docs, doc_id=F.col(id_col), doc_key=document_key(id_col, text_col))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), document_key(id_col, text_col).alias("doc_key"), F.split(text_col, "\n", -1).alias("lines"))
+
+    def pair(line: Column, i: Column) -> Column:
+        two = (line, F.get(F.col("lines"), i + 1))
+        return F.struct(i.alias("place"), F.xxhash64(*two).alias("h1"), F.xxhash64(F.lit("second half"), *two).alias("h2"))
+
+    judged = F.transform(F.slice("lines", 1, F.size("lines") - 1), pair)
+    pairs = texts.select("doc_id", "doc_key", F.explode(judged).alias("p")).select("doc_id", "doc_key", "p.*")
+    place = F.struct("doc_id", "doc_key", "place")
+    groups = pairs.groupBy("h1", "h2").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h1", "h2", "keep")
+    gone = pairs.join(groups, ["h1", "h2"]).where(~place.eqNullSafe(F.col("keep")))
+    gone = gone.groupBy("doc_key", F.col("doc_id").alias("gone_id")).agg(F.collect_set("place").alias("at"))
+    gone = gone.select("doc_key", "gone_id", F.array_sort(F.array_distinct(F.concat("at", F.transform("at", lambda i: i + 1)))).alias("gone"))
+    same = (rows["doc_key"] == gone["doc_key"]) & rows["doc_id"].eqNullSafe(gone["gone_id"])
+    both = rows.join(gone, same, "left").select("row", F.split(F.col("row")[text_col], "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    found = both.select(
+        "row", F.array_join(_without(F.col("lines"), F.col("gone")), "\n").alias(text_col),
+        F.coalesce(F.array_size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.array_size("gone").cast("long").alias("n_removed_lines"),
+    )
+    counts = ["n_lines", "n_removed_lines"]
+    return unpacked(found, names, text_col, *counts).select(*[c for c in names if c not in counts], *counts)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed_lines", "n_chunks", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
