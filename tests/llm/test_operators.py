@@ -459,6 +459,20 @@ def test_license_scan_finds_every_notice(spark):
         assert (got[r.doc_id] in want) if want else got[r.doc_id] is None
 
 
+def test_license_scan_finds_notices_among_words(spark):
+    apache, long = license_scan.TEMPLATES["Apache-2.0"]
+    want = {
+        "Copyright 2021 Acme Inc. Released under the MIT License.": "MIT", "Copyright 2019 The Authors. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (see LICENSE file in the project root for details).": "Apache-2.0", "Photo by Jane Doe, licensed under CC BY 4.0.": "CC-BY-4.0",
+        "MIT License": "MIT", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-3.0-or-later, see below": "GPL-3.0", "ours: SPDX-License-Identifier: LGPL-3.0-only": "LGPL-3.0",
+        "some words before " * 30 + long + " and many words behind" * 30: "Apache-2.0", "free words\nbefore it " + long.replace(" ", "\n", 9) + " and\nbehind": "Apache-2.0",
+        "Text by us, licensed under CC BY-NC 4.0, all of it": "CC-BY-NC-4.0", "we take part in this work for the public, under the version of a file that you may use": None, "SPDX-License-Identifier: Zlib": None, "": None,
+    }
+    rows = [(i, f"d{i}/f", text) for i, text in enumerate(want)] + [(100 + i, f"e{i}/f", "plain words of a text, under the sea " * 3) for i in range(300)]
+    got = {r.doc_id: r.own_license for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values()) and {got[100 + i] for i in range(300)} == {None}
+
+
 # Pipeline
 
 

@@ -37,6 +37,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
+#: Short titles and SPDX forms; they count where they stand word for word, as one word less would name another licence or none.
+TITLES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 license", "licensed under Apache 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "BSD-3-Clause": ("BSD 3-Clause", "3-Clause BSD", "BSD-3-Clause"),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    "CC0-1.0": ("CC0 1.0",),
+    "GPL-3.0": ("GPL-3.0", "GPLv3", "GPL version 3", "GNU General Public License v3", "GNU General Public License v3.0", "GNU General Public License version 3"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPLv3", "LGPL version 3", "GNU Lesser General Public License v3", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License version 3"),
+    "MIT": ("MIT License", "SPDX-License-Identifier: MIT"),
+    "MPL-2.0": ("MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"),
+}
 #: Least cosine of a notice.
 THRESHOLD = 0.7
 #: A file is its directory's licence file if its name says so or notices make up this share of its words.
@@ -52,11 +64,14 @@ def terms(text: str) -> list[str]:
 class Scanner:
     """Template vectors. Terms that no template has weigh as much as a term that no document has."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], documents: int, often: dict[str, int]) -> None:
+    def __init__(self, templates: dict[str, tuple[str, ...]], documents: int, often: dict[str, int], titles: dict[str, tuple[str, ...]] | None = None) -> None:
         self.other = math.log(1 + documents) + 1
         self.weight = {t: math.log((1 + documents) / (1 + often.get(t, 0))) + 1 for texts in templates.values() for x in texts for t in terms(x)}
         self.vectors: list[tuple[str, float]] = []
         self.postings: dict[str, list[tuple[int, float]]] = {}
+        self.sizes: list[int] = []
+        self.titles = sorted({(name, tuple(terms(x))) for name, texts in (titles or {}).items() for x in texts})
+        self.title_terms = frozenset(t for _, title in self.titles for t in title)
         for name, texts in sorted(templates.items()):
             for text in texts:
                 own = {t: n * self.weight[t] for t, n in Counter(terms(text)).items()}
@@ -64,6 +79,7 @@ class Scanner:
                 for t, w in own.items():
                     self.postings.setdefault(t, []).append((len(self.vectors), w / length))
                 self.vectors.append((name, length))
+                self.sizes.append(len(terms(text)))
 
     def best(self, words: list[str]) -> tuple[float, str]:
         """Highest cosine and its licence; of equals the first by name."""
@@ -78,22 +94,77 @@ class Scanner:
         top = max(dots)
         return top / math.sqrt(square), self.vectors[dots.index(top)][0]
 
+    def windows(self, words: list[str], i: int, threshold: float) -> list[tuple[float, int]]:
+        """Cosine and start of each run of as many words as template ``i`` has that comes up to ``threshold``."""
+        n, name = self.sizes[i], self.vectors[i][0]
+        own = {t: w for t, list_ in self.postings.items() for k, w in list_ if k == i}
+        counts: Counter[str] = Counter()
+        dot = square = 0.0
+        found = []
+        for j, t in enumerate(words):
+            w = self.weight.get(t, self.other)
+            square += w * w * (2 * counts[t] + 1)
+            dot += w * own.get(t, 0.0)
+            counts[t] += 1
+            if j >= n:
+                t = words[j - n]
+                w = self.weight.get(t, self.other)
+                counts[t] -= 1
+                square -= w * w * (2 * counts[t] + 1)
+                dot -= w * own.get(t, 0.0)
+                if not counts[t]:
+                    del counts[t]
+            if j >= n - 1 and dot * dot >= (threshold * threshold - 1e-9) * square and dot > 0:
+                cosine, best = self.best(words[j - n + 1 : j + 1])  # without the sums' rounding
+                if best == name and cosine >= threshold:
+                    found.append((cosine, j - n + 1))
+        return found
+
+    def within(self, words: list[str], hope: set[str], threshold: float) -> list[tuple[float, str, int, int]]:
+        """Notices that other words of a paragraph surround: cosine, licence, start, end.
+
+        No window's cosine is above the share of a template's length that the
+        paragraph's words have, so templates below that are passed over.
+        """
+        shares = [0.0] * len(self.vectors)
+        for t in hope:
+            for i, w in self.postings.get(t, ()):
+                shares[i] += w * w
+        found = []
+        for i, share in enumerate(shares):
+            if share >= threshold * threshold - 1e-9 and len(words) > self.sizes[i]:
+                found += [(c, self.vectors[i][0], a, a + self.sizes[i]) for c, a in self.windows(words, i, threshold)]
+        own = self.title_terms.intersection(words)
+        for name, title in self.titles:
+            if own.issuperset(title):
+                n = len(title)
+                found += [(1.0, name, a, a + n) for a, t in enumerate(words) if t == title[0] and tuple(words[a : a + n]) == title]
+        return found
+
     def scan(self, text: str, threshold: float) -> tuple[float, str, float]:
-        """Best notice of the whole text (lines, paragraphs, all of it), and the share of words in lines that are notices."""
+        """Best notice of the whole text (lines, paragraphs, windows in them, all of it), and the share of words in notices."""
         lines = [terms(x) for x in text.split("\n")]
         words = sum(map(len, lines))
         hopeful = [self.weight.keys() & set(x) for x in lines]
         found = [self.best(x) if len(h) >= 2 else (0.0, "") for x, h in zip(lines, hopeful, strict=True)]
-        inside = sum(len(x) for x, (c, _) in zip(lines, found, strict=True) if c >= threshold)
-        blocks, block, near = [], [], 0
-        for line, hope in zip([*lines, []], [*hopeful, set()], strict=True):
+        inside = 0
+        blocks, block, near, hopes, taken = [], [], 0, set(), []
+        for line, hope, (c, _) in zip([*lines, []], [*hopeful, set()], [*found, (0.0, "")], strict=True):
             if line:
                 block.append(line)
                 near += len(hope)
-            else:
+                hopes |= hope
+                taken += [c >= threshold] * len(line)
+            elif block:
+                own = [t for x in block for t in x]
                 if len(block) > 1 and near >= 2:
-                    blocks.append([t for x in block for t in x])
-                block, near = [], 0
+                    blocks.append(own)
+                for cosine, name, first, last in sorted(self.within(own, hopes, threshold), key=lambda x: (-x[0], x[2] - x[3], x[1])):
+                    found.append((cosine, name))
+                    if not any(taken[first:last]):
+                        taken[first:last] = [True] * (last - first)
+                inside += sum(taken)
+                block, near, hopes, taken = [], 0, set(), []
         if len(blocks) > 1:
             blocks.append([t for x in lines for t in x])
         for own in blocks:
@@ -127,11 +198,14 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
 
 
-def license_scan(files: DataFrame, *, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
+def license_scan(
+    files: DataFrame, *, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, titles: dict[str, tuple[str, ...]] = TITLES
+) -> DataFrame:
     """From doc_id, path, text: doc_id, path, own_license, cosine, license, inherited_from, distance.
 
-    Each line, each paragraph and the whole of a text is compared with the
-    templates; idf is counted over all texts. A file without a notice of its
+    Each line, each paragraph, each run of a template's number of words in a
+    paragraph and the whole of a text is compared with the templates; titles
+    count word for word (cosine 1); idf is counted over all texts. A file without a notice of its
     own gets that of the licence file in the nearest directory at or above its
     own: distinct directories are joined with their ancestors that have one,
     and files with their directory's answer.
@@ -145,7 +219,7 @@ def license_scan(files: DataFrame, *, templates: dict[str, tuple[str, ...]] = TE
     where = shared_dir(spark)
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text")
     vocabulary = frozenset(t for texts in templates.values() for x in texts for t in terms(x))
-    shared = spark.sparkContext.broadcast(Scanner(templates, *_term_counts(rows.select("text"), vocabulary)))
+    shared = spark.sparkContext.broadcast(Scanner(templates, *_term_counts(rows.select("text"), vocabulary), titles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
