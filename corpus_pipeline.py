@@ -28,6 +28,13 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of two lines or more leave the text whole, so a copy of several lines has nothing left and goes."""
+    kept = line_dedup.passage_dedup(docs)
+    kept = kept.where((F.col("n_removed_lines") == 0) | (F.length("text") > 0))
+    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest id."""
     gone = minhash.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
@@ -52,12 +59,23 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
+#: The same with whole passages for chunks. STAGES keeps chunks, as its tests state them.
+PASSAGE_STAGES = [(name, remove_repeated_passages if name == "line_dedup" else stage) for name, stage in STAGES]
+
 #: Models, components and pieces have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _through(stages: list, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, where = table(spark, sf_dir, "documents"), shared_dir(spark)
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"{where}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(STAGES, spark, sf_dir)
+
+
+def run_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through(PASSAGE_STAGES, spark, sf_dir)

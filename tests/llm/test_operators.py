@@ -495,6 +495,27 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     assert got == {i: (len(pieces.encode(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in kept}
 
 
+def test_passages_pipeline_is_its_stages_by_brute_force(spark):
+    left = without_pairs(sorted((r.doc_id, r.text) for r in sample(spark).collect()))
+    kept = [(i, t) for i, (t, _, n) in left.items() if not n or t]
+    near = components(kept, 80)
+    kept = [(i, t) for i, t in kept if near[i][2]]
+    items = [(str(r.item_id), r.text) for r in table(spark, SF, "benchmark").collect() if len(windows(r.text)) >= 10]
+    kept = [(i, t) for (i, t), found in zip(kept, contaminated([t for _, t in kept], items)) if not found[1]]
+    pieces = sentencepiece.Pieces.parse(sentencepiece.read_model())
+    got = {r.doc_id: (r.n_ids, r.decoded_sha256) for r in registry.QUERIES["pipeline_passages"](spark, SF).collect()}
+    assert got == {i: (len(pieces.encode(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in kept}
+
+
+def test_copies_of_several_lines_go(spark):
+    rows = [(i, "\n".join(f"of {i % 5}: {k}" for k in range(2 + i % 5)), "en", "s", 1) for i in range(20)] + [r for r in NASTY if r[0] and r[0] < 0]
+    assert {r.doc_id for r in corpus_pipeline.remove_repeated_passages(spark, docs(spark, rows), SF).collect()} == {-1, 0, 1, 2, 3, 4}
+    assert dict(corpus_pipeline.PASSAGE_STAGES)["line_dedup"] is corpus_pipeline.remove_repeated_passages
+    now = docs(spark)
+    after = corpus_pipeline.remove_repeated_passages(spark, now, SF)
+    assert after.columns == now.columns and after.count() == len(NASTY) - 1  # of blank lines alone nothing is left
+
+
 def test_stages_take_any_documents(spark):
     now = docs(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -77,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
+    "pipeline_passages": corpus_pipeline.run_passages,
 }
 
 ORACLES: dict[str, str] = {
