@@ -184,6 +184,14 @@ def test_decontamination_cases(spark, monkeypatch):
     assert sorted(at.tolist()) == [45, 46, 47, 57, 58, 59, 69, 70, 71] and longest.max() == 12
 
 
+def test_longest_match_of_items_that_begin_alike(spark):
+    prompt = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, prompt + " a much longer tail than that"), (2, prompt + " short tail"), (3, prompt + " short tail of three")], "item_id long, text string")
+    rows = [(1, "before " + prompt + " short tail behind", "en", "s", 1), (2, prompt + " a much other", "en", "s", 1), (3, prompt, "en", "s", 1)]
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.longest_match) for r in decontaminate.find_contamination(docs(spark, rows), items).collect()}
+    assert got == {1: (12, ["1", "2", "3"], 12), 2: (12, ["1", "2", "3"], 12), 3: (10, ["1", "2", "3"], 10)}
+
+
 # Language
 
 

@@ -34,10 +34,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Tests:
-    """The test suffixes of one block of items, sorted out by distinct window."""
+    """The distinct test suffixes of one block of items, without those that another begins with."""
 
     vocabulary: dict[bytes, int]
-    suffixes: np.ndarray  # distinct windows x longest item: word numbers, 0 behind the end
+    suffixes: np.ndarray  # suffixes x longest item: word numbers, 0 behind the end
     window: np.ndarray  # words of each that must match
     items: list[list[str]]  # ids of the items that hold it
     least: int
@@ -56,7 +56,10 @@ def test_suffixes(items: list[tuple[str, bytes]], window: int = WINDOW) -> Tests
         return None
     if len(vocabulary) >= 1 << _BITS:
         raise ValueError("a block of items holds more distinct words than a key has room for; lower BLOCK_BYTES")
-    rows = [(key, max(tails, key=len)) for key, (_, tails) in found.items()]
+    rows = []
+    for key, (_, tails) in found.items():
+        tails = sorted(set(tails))  # one that another begins with stands right before such a one
+        rows += [(key, t) for t, after in zip(tails, [*tails[1:], ()], strict=True) if after[: len(t)] != t]
     longest = max(len(t) for _, t in rows)
     matrix = np.zeros((len(rows), -(-longest // 3) * 3), np.int64)
     for i, (_, tail) in enumerate(rows):
