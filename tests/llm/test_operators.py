@@ -192,6 +192,57 @@ def test_longest_match_of_items_that_begin_alike(spark):
     assert got == {1: (12, ["1", "2", "3"], 12), 2: (12, ["1", "2", "3"], 12), 3: (10, ["1", "2", "3"], 10)}
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 40])
+def test_repeated_rows_are_answered_each(spark, block):
+    rows = [(1, "one two three four", "en", "s", 1)] * 3 + [(None, "one two three four", "en", "s", 1)] * 2 + [(None, None, "en", "s", 1)] * 2 + [(2, "none", "en", "s", 1)]
+    clash = docs(spark, rows).withColumnsRenamed({"lang": "doc_key", "source": "spans", "n_chars": "items"})
+    items = spark.createDataFrame([(i, f"two three f{'o' * i}ur and something longer than that") for i in range(9)] + [(50, "two three")], "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.longest_match) for r in decontaminate.find_contamination(clash, items, block_bytes=block).collect())
+    assert got == {(1, 4, 2, 2): 3, (None, 4, 2, 2): 2, (None, 0, 0, 0): 2, (2, 1, 0, 0): 1}
+
+
+def longest(text, items, window=10):
+    """The most words that a text shares with a suffix of an item, by trying all pairs of places."""
+    w, best = windows(text), 0
+    for item in map(windows, items):
+        for t in range(max(1, len(item) - window + 1) if item else 0):
+            least = min(window, len(item))
+            for p in range(len(w) - least + 1):
+                n = 0
+                while p + n < len(w) and t + n < len(item) and w[p + n] == item[t + n]:
+                    n += 1
+                best = max(best, n) if n >= least else best
+    return best
+
+
+def test_longest_match_is_brute_force(spark):
+    rng = random.Random(11)
+    words = lambda n, kinds: " ".join(rng.choice("abcdefgh"[:kinds]) for _ in range(n))
+    items = [words(rng.randrange(1, 60), 2) for _ in range(20)] + ["a " * 90, "a b " * 40, words(8, 4), words(4, 3)]
+    rows = [(i, words(rng.randrange(80), 2) + " x " + rng.choice(items)[rng.randrange(8) :] + " " + words(9, 4), "en", "s", 1) for i in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.longest_match for r in decontaminate.find_contamination(docs(spark, rows), bench).collect()}
+    assert got == {r[0]: longest(r[1], items) for r in rows} and max(got.values()) > 40
+
+
+def test_long_items_need_room_as_they_are_long(spark):
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(12)
+    long, same = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)), "same " * 20_000
+    tracemalloc.start()
+    tests = decontaminate.test_suffixes([("a", long.encode()), ("b", same.encode())])
+    heads = tests.heads()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20 and len(pickle.dumps(tests)) < 4 << 20 and len(heads) == 19_992
+    bench = spark.createDataFrame([(1, long), (2, same)], "item_id long, text string")
+    rows = [(1, "before " + long + " behind", "en", "s", 1), (2, same, "en", "s", 1), (3, "same " * 9, "en", "s", 1), (4, " ".join(long.split()[5:40]), "en", "s", 1)]
+    got = {r.doc_id: (r.n_hit, list(r["items"]), r.longest_match) for r in decontaminate.find_contamination(docs(spark, rows), bench).collect()}
+    assert got == {1: (20_000, ["1"], 20_000), 2: (20_000, ["2"], 20_000), 3: (0, [], 0), 4: (35, ["1"], 35)}
+
+
 # Language
 
 
