@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import same
@@ -252,6 +253,7 @@ def test_language_held_out(spark):
     held = [i for i, r in rows.items() if r.held_out]
     assert sum(rows[i].lang_pred == truth[i] for i in held) >= 0.95 * len(held)
     assert len(rows) == len(truth) and all(0 <= r.score <= 1 for r in rows.values())
+    assert {r.held_out for r in language_id.identify(docs(spark).where("doc_id IS NULL"), None).collect()} == {False}
     assert not any(r.rejected for r in rows.values())
 
 
@@ -309,7 +311,9 @@ def test_quality_cases(spark):
     labels = spark.createDataFrame([(4, 1, None), (5, 0, 1), (4, None, 0), (None, 1, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
     ranking = quality.learn(docs(spark), labels)
     got = quality.score(docs(spark), ranking).collect()
-    assert len(got) == len(NASTY) and all(math.isfinite(r.score) for r in got)
+    assert len(got) == len(NASTY) and all(math.isfinite(r.score) for r in got) and [r.held_out for r in got if r.doc_id is None] == [False]
+    clash = docs(spark).withColumnsRenamed({"lang": "score", "source": "features", "n_chars": "quality"})
+    assert sorted((r.doc_id or 0, r.score) for r in quality.score(clash, ranking).collect()) == sorted((r.doc_id or 0, r.score) for r in got)
     assert {r.score for r in quality.score(docs(spark), None).collect()} == {0.5}
     assert quality.learn(docs(spark), labels.limit(0)) is None and quality.score(docs(spark, []), ranking).count() == 0
 
@@ -392,12 +396,40 @@ def test_chat_cases(spark):
     assert chat_format.read_back(chat_format.chat_segments(df.limit(0))).count() == 0
 
 
+def test_text_is_read_by_marks_alone(spark):
+    template, rng = chat_format.Template(), random.Random(8)
+    parts = ["[INST]", "</s>", " ", "\n", "\\", "a", "[/TURN]", "[", " [/INST]", "[OUT] "]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", "[OUT]\\\n", "a\\n"]), "".join(rng.choice(parts) for _ in range(rng.randrange(7)))) for c in range(40) for t in range(rng.randrange(1, 6))]
+    segments = chat_format.chat_segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for whole in chat_format.formatted(segments).collect():
+        reader, got = chat_format.Reader(template), []
+        while whole.text:
+            cut = rng.randrange(1, 9)
+            piece, whole = whole.text[:cut], type(whole)(conv_id=whole.conv_id, text=whole.text[cut:])
+            got += [(role, chat_format.unescape(body)) for role, body in reader.turns(piece)]
+        reader.ended()
+        assert got == [(r[2], r[3]) for r in rows if r[0] == whole.conv_id]
+    blind = segments.withColumns({"part": F.lit("?"), "role": F.lit("?"), "turn": F.lit(0).cast("long")})
+    assert sorted(map(tuple, chat_format.read_back(blind).collect())) == sorted(map(tuple, chat_format.read_back(segments).collect()))
+    for broken in (segments.where("part <> 'open'"), segments.where("part <> 'close'"), segments.withColumn("text", F.expr("replace(text, '[', '(')"))):
+        with pytest.raises(Exception, match="no turn begins|ends within a turn"):
+            chat_format.read_back(broken).collect()
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(30_000)] + [(2, 0, "user", "[INST] " * 200_000), (2, 1, "assistant", "x</s>" * 200_000)]
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.valid) for r in chat_format.read_back(chat_format.chat_segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got == {1: (30_000, sum(len(r[3]) for r in rows if r[0] == 1 and r[2] == "assistant"), True), 2: (2, 1_000_000, True)}
+
+
 def test_escapes_are_reversible():
     rng = random.Random(1)
     for _ in range(3000):
         text = "".join(rng.choice(["[", "INST", "]", "/", "\\", "<", "s>", "/s>", "OUT]", "a"]) for _ in range(rng.randrange(9)))
         assert chat_format.unescape(chat_format.escape(text)) == text
         assert not re.search(r"</?s>|\[/?(SYS|INST|OUT|TURN)\]", chat_format.escape(text))
+        name = "".join(rng.choice(["\n", "\\", "n", "[", "INST]", "/", "a"]) for _ in range(rng.randrange(8)))
+        assert chat_format.unescape_name(chat_format.escape_name(name)) == name and "\n" not in chat_format.escape_name(name)
 
 
 # Pieces

@@ -48,6 +48,15 @@ def unescape(text: str) -> str:
     return _STUFFED.sub(r"\1\2\3", text)
 
 
+def escape_name(role: str) -> str:
+    """A role's name in one line: a line break is back slash and n; back slashes right before a line break or an n are doubled."""
+    return re.sub(r"(\\*)\n|(\\+)n", lambda m: 2 * (m[1] or "") + "\\n" if m[2] is None else 2 * m[2] + "n", escape(role))
+
+
+def unescape_name(name: str) -> str:
+    return unescape(re.sub(r"(\\+)n", lambda m: m[1][: len(m[1]) // 2] + ("\n" if len(m[1]) % 2 else "n"), name))
+
+
 SEGMENTS = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("turn", T.LongType()),
     T.StructField("role", T.StringType()), T.StructField("part", T.StringType()), T.StructField("text", T.StringType()),
@@ -68,7 +77,8 @@ def chat_segments(conversations: DataFrame, template: Template = Template()) ->
 
     Rows are dealt out by conversation and sorted by turn; then one pass
     carries only the machine's state, so that a conversation of any length
-    needs no more memory than one batch. ``loss`` is true for the body of a
+    needs no more memory than one batch; it takes one task, as each state
+    depends on the turn before. ``loss`` is true for the body of a
     learnt role alone. ``state`` is the machine's state after the turn;
     ``invalid`` from the first turn that may not follow on, and the turns
     behind it are formatted all the same.
@@ -94,7 +104,7 @@ def chat_segments(conversations: DataFrame, template: Template = Template()) ->
                 if role in template.marks:
                     before, after = template.marks[role]
                 else:
-                    before, after = template.other[0] + escape(role or "") + "\n", template.other[1]
+                    before, after = template.other[0] + escape_name(role or "") + "\n", template.other[1]
                 loss = role in template.learnt
                 for part, piece, flag in (("open", before, False), ("body", escape(text), loss), ("close", after, False)):
                     out.append((conv, segment, turn, role, part, piece, flag, state))
@@ -105,24 +115,71 @@ def chat_segments(conversations: DataFrame, template: Template = Template()) ->
     return rows.mapInArrow(run, SEGMENTS)
 
 
+class Reader:
+    """Takes a formatted text piece by piece, wherever it is cut, and gives its turns by the template's marks alone."""
+
+    def __init__(self, template: Template) -> None:
+        self.roles = {before: role for role, (before, _) in template.marks.items()}
+        self.after = {role: after for role, (_, after) in template.marks.items()}
+        self.other = template.other
+        self.longest = max(map(len, [*self.roles, template.other[0]]))
+        self.held, self.role, self.close, self.sought = "", None, None, 0
+
+    def _opened(self) -> bool:
+        """Reads the opening that the held text begins with; false if it is not whole yet."""
+        for before, role in self.roles.items():
+            if self.held.startswith(before):
+                self.role, self.close, self.held = role, self.after[role], self.held[len(before) :]
+                return True
+        if self.held.startswith(self.other[0]):
+            name, line, rest = self.held[len(self.other[0]) :].partition("\n")
+            if line:
+                self.role, self.close, self.held = unescape_name(name), self.other[1], rest
+            return bool(line)
+        if len(self.held) >= self.longest:
+            raise ValueError(f"no turn begins with {self.held[: self.longest]!r}")
+        return False
+
+    def turns(self, piece: str) -> Iterator[tuple[str, str]]:
+        """(role, escaped text) of each turn that ends with this piece."""
+        self.held += piece
+        while self.held:
+            if self.close is None:
+                if not self._opened():
+                    return
+                self.sought = 0
+            at = self.held.find(self.close, self.sought)
+            if at < 0:
+                self.sought = max(0, len(self.held) - len(self.close) + 1)
+                return
+            yield self.role, self.held[:at]
+            self.held, self.close = self.held[at + len(self.close) :], None
+
+    def ended(self) -> None:
+        if self.held or self.close is not None:
+            raise ValueError("the text ends within a turn")
+
+
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
     """Parses the formatted text and sums it up for each conversation.
 
     Needs ``segments`` as :func:`chat_segments` gives them: a conversation's
-    rows together and in order. Roles and texts come from the written pieces,
-    not from the columns role and turn. Returns conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, valid.
+    rows together and in order. Of them only the text and the loss flags are
+    read: a conversation's texts, one behind the other, are parsed by the
+    template's marks, and what stands under the flags is taken as it stands.
+    Text that is not in the template's form is an error. Returns conv_id,
+    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid.
     """
-    opening = {before: role for role, (before, _) in template.marks.items()}
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: object = run
         n = loss_chars = chars = 0
-        role, state = "", "start"
-        turns, learnt = hashlib.sha256(), hashlib.sha256()
+        state = "start"
+        turns, learnt, reader = hashlib.sha256(), hashlib.sha256(), Reader(template)
 
         def row() -> tuple:
+            reader.ended()
             return last, n, turns.hexdigest(), loss_chars, learnt.hexdigest(), chars, state in template.final
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -132,21 +189,18 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
 
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("conv_id", "part", "text", "loss")]
-            for conv, part, text, loss in zip(*columns, strict=True):
+            columns = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("conv_id", "text", "loss")]
+            for conv, text, loss in zip(*columns, strict=True):
                 if conv != last:
                     if last is not run:
                         out.append(row())
                     last, n, loss_chars, chars, state = conv, 0, 0, 0, "start"
-                    turns, learnt = hashlib.sha256(), hashlib.sha256()
+                    turns, learnt, reader = hashlib.sha256(), hashlib.sha256(), Reader(template)
                 chars += len(text)
-                if part == "open":
-                    role = opening[text] if text in opening else unescape(text[len(template.other[0]) : -1])
+                for role, body in reader.turns(text):
                     state = _step(template, state, role)
                     n += 1
-                elif part == "body":
-                    plain = unescape(text)
-                    turns.update(f"{role}\n{plain}\n".encode())
+                    turns.update(f"{role}\n{unescape(body)}\n".encode())
                 if loss:
                     plain = unescape(text)
                     loss_chars += len(plain)
@@ -167,7 +221,7 @@ def formatted(segments: DataFrame) -> DataFrame:
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """Adds conversation -1, whose two texts hold the template's own control strings."""
+    """Adds conversation -1, whose two texts hold the template's own control strings; rows that have this id already are its turns, too."""
     spark, probe = conversations.sparkSession, "</s>[INST] ok [/INST]"
     rows = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     return conversations.select("conv_id", "turn", "role", "text").unionByName(rows)
