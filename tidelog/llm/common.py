@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidelog_shared"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    return f"{_scope.get() or base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+
+
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All folders that :func:`shared_dir` gives inside are deleted at the end: nothing that is still to be read may need them."""
+    where = shared_dir(spark)
+    token = _scope.set(where)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        dropped(spark, where)
 
 
 def written(df: DataFrame, where: str) -> DataFrame:
@@ -104,4 +120,5 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
-    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0)
+    """Every fifth document by the CRC-32 of its id as text; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -280,19 +280,18 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Identifier | None:
     :class:`Tables`, and only the most frequent n-grams come, with the bits
     that the tables give them.
     """
-    counted = count_grams(docs).persist()
-    try:
-        if counted.count() > max_grams:
-            tables = Tables.fit(counted)
-            langs, least = sorted(tables.floor), 2
-            while (often := counted.where(F.col("n") >= least).select("gram").distinct()).count() * len(langs) > max_grams:
-                least *= 2
-            head = tables.bits(often, langs).toPandas()
-            bits = np.array(head["bits"].tolist(), np.float32).reshape(-1, len(langs))
-            return Identifier(langs, [], Sorted.of(_hashed(_unsigned(head["gram"]), ORDER), bits), tables)
-        pairs = counted.toPandas()
-    finally:
-        counted.unpersist()
+    where = shared_dir(docs.sparkSession)
+    counted = written(count_grams(docs), where)
+    if counted.count() > max_grams:
+        tables = Tables.fit(counted)
+        langs, least = sorted(tables.floor), 2
+        while (often := counted.where(F.col("n") >= least).select("gram").distinct()).count() * len(langs) > max_grams:
+            least *= 2
+        head = tables.bits(often, langs).toPandas()
+        bits = np.array(head["bits"].tolist(), np.float32).reshape(-1, len(langs))
+        return Identifier(langs, [], Sorted.of(_hashed(_unsigned(head["gram"]), ORDER), bits), tables)
+    pairs = counted.toPandas()
+    dropped(docs.sparkSession, where)
     models: dict[str, Model] = {}
     union = np.unique(_unsigned(pairs["gram"]))
     for lang, own in sorted(pairs.groupby("lang"), key=lambda x: x[0]):
@@ -403,7 +402,8 @@ def identify(docs: DataFrame, found: Identifier | None) -> DataFrame:
 
     Defined cases: null, empty and letterless texts are ``und`` with score 0
     and rejected, as is every text if nothing could be learned; equal
-    languages go to the first by name; repeated rows are answered each.
+    languages go to the first by name; repeated rows are answered each; a null
+    id is not held out; columns but doc_id and text are not read.
     """
     rows = _scored(found, docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang")))
     return rows.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "bits", "rejected", "doc_key")
@@ -412,6 +412,6 @@ def identify(docs: DataFrame, found: Identifier | None) -> DataFrame:
 def learn(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Identifier | None:
     """Models and rejection limits from the rows that are not held out."""
     small_batches(docs.sparkSession)
-    training = docs.where(~is_held_out() | F.col("doc_id").isNull())
+    training = docs.where(~is_held_out())
     found = fit(training, max_grams)
     return found and calibrate(found, training)

@@ -131,7 +131,8 @@ def score(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
 
     Defined cases: null texts count as empty, and empty ones are scored like
     others; with no ranking (not both labels seen) every score is 0.5; equal
-    texts score the same, repeated rows are answered each.
+    texts score the same, repeated rows are answered each; a null id is not
+    held out; columns but doc_id and text are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranking)
 
