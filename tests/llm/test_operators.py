@@ -450,6 +450,17 @@ def test_pieces_are_the_librarys(spark):
     assert list(pieces._numbers(pieces.search("▁" + long))) == library.encode(long)
 
 
+def test_search_is_merging():
+    """Without the library: what the search finds is what merging leaves."""
+    pieces, rng = sentencepiece.Pieces.parse(sentencepiece.read_model()), random.Random(4)
+    words = {w for r in NASTY if r[1] for w in r[1][:500].split()} | {"".join(rng.choice("etaoinshrdlu0123é中😀▁") for _ in range(rng.randrange(1, 14))) for _ in range(1500)}
+    for word in words:
+        word = "▁" + word
+        assert list(pieces.search(word)) == pieces.merged(word)
+    for text in ("abc" * 60, "in" * 100, "the" * 70 + "▁" * 40 + "x" * 50):
+        assert list(pieces.search(iter(text))) == pieces.merged(text)
+
+
 def test_unigram_rule_is_viterbi():
     pieces = sentencepiece.Pieces(["<unk>", "a", "b", "ab", "ba", "bab", "▁"], [0.0, -1.5, -1.25, -2.0, -2.25, -3.125, -0.5], [2, 1, 1, 1, 1, 1, 1], sentencepiece.UNIGRAM, False, False)
     pieces.ids = {t: i for i, t in enumerate(pieces.texts) if i}
@@ -479,6 +490,9 @@ def test_pieces_cases(spark):
     encoded = sentencepiece.encode(docs(spark), raw)
     assert Counter(r.text for r in sentencepiece.decode(encoded, raw).collect() if r.doc_id != 8) == Counter(r[1] or "" for r in NASTY if r[0] != 8)
     assert sentencepiece.round_trip(docs(spark, []), raw).count() == 0
+    clash = docs(spark).withColumnsRenamed({"lang": "ids", "source": "exact", "n_chars": "n_ids"})
+    ids = sorted((r.doc_id or 0, list(r.ids)) for r in sentencepiece.round_trip(clash, raw, with_ids=True).collect())
+    assert ids == sorted((r.doc_id or 0, list(r.ids)) for r in encoded.collect())
 
 
 # Suffix arrays
@@ -598,6 +612,20 @@ def test_passages_pipeline_is_its_stages_by_brute_force(spark):
     assert got == {i: (len(pieces.encode(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in kept}
 
 
+def test_pipeline_gives_ids_and_leaves_one_table(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.exists(shared) else set()
+    result = corpus_pipeline.run(spark, SF)
+    assert [os.listdir(f"{shared}/{x}") for x in set(os.listdir(shared)) - before] == [[corpus_pipeline.STAGES[-2][0]]]
+    pieces = sentencepiece.Pieces.parse(sentencepiece.read_model())
+    texts = {r.doc_id: r.text for r in sample(spark).collect()}
+    for r in result.collect():
+        assert len(r.ids) == r.n_ids and hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in r.ids)).hexdigest() == r.ids_sha256
+        assert hashlib.sha256(pieces.decode(r.ids).encode()).hexdigest() == r.decoded_sha256 and r.doc_id in texts
+
+
 def test_copies_of_several_lines_go(spark):
     rows = [(i, "\n".join(f"of {i % 5}: {k}" for k in range(2 + i % 5)), "en", "s", 1) for i in range(20)] + [r for r in NASTY if r[0] and r[0] < 0]
     assert {r.doc_id for r in corpus_pipeline.remove_repeated_passages(spark, docs(spark, rows), SF).collect()} == {-1, 0, 1, 2, 3, 4}

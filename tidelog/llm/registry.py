@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, quality, sentencepiece, suffix_dedup
+from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash, pipeline, quality, sentencepiece, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +74,8 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
-    "pipeline": corpus_pipeline.run,
-    "pipeline_passages": corpus_pipeline.run_passages,
+    "pipeline": pipeline.run,
+    "pipeline_passages": pipeline.run_passages,
 }
 
 ORACLES: dict[str, str] = {

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import byte_values, chunks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words, and pairs of pieces, that a task remembers before it forgets all and begins anew (about 225 MB and 50 MB).
+#: Words, and pairs of pieces, that a task remembers before it forgets all and begins anew (about 225 MB and 30 MB).
 MEMORY = 1_000_000
-PAIR_MEMORY = 300_000
+PAIR_MEMORY = 500_000
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
 UNIGRAM, BPE = 1, 2
@@ -64,7 +64,9 @@ class Pieces:
     ids: dict[str, int] = field(default_factory=dict)
     words: dict[str, bytes] = field(default_factory=dict)
     memory: int = MEMORY
-    fits: dict[tuple[str, str], bool] = field(default_factory=dict)
+    fits: dict[str, dict[str, bool]] = field(default_factory=dict)
+    pairs: int = 0
+    tree: dict[str, tuple] = field(default_factory=dict)
 
     @classmethod
     def parse(cls, model: bytes) -> Pieces:
@@ -96,7 +98,6 @@ class Pieces:
         if _UNKNOWN in self.kinds:
             parts[self.unknown] = " ⁇ ".encode()
         self.plain = parts
-        self.tails = {t[i:] for t, k in zip(self.texts, self.kinds, strict=True) if k == _NORMAL for i in range(len(t))}
         self.whole_words = not any(_SPACE in t.lstrip(_SPACE) for t, k in zip(self.texts, self.kinds, strict=True) if k == _NORMAL)
 
     def merged(self, text: str) -> list[str]:
@@ -114,12 +115,28 @@ class Pieces:
 
     def neighbours(self, before: str, after: str) -> bool:
         """Whether BPE leaves ``before`` and ``after`` as they are where they meet (``before`` may be empty)."""
-        known = self.fits.get((before, after))
-        if known is None:
-            if len(self.fits) >= PAIR_MEMORY:
-                self.fits.clear()
-            known = self.fits[before, after] = self.merged(before + after) == ([before, after] if before else [after])
-        return known
+        if self.pairs >= PAIR_MEMORY:
+            self.fits.clear()
+            self.pairs = 0
+        self.pairs += 1
+        fit = self.fits.setdefault(before, {})[after] = self.merged(before + after) == ([before, after] if before else [after])
+        return fit
+
+    def _backwards(self) -> dict[str, tuple]:
+        """All pieces by their characters from the last to the first: character -> (characters before it, whether a piece begins here, the piece)."""
+        if not self.tree:
+            grown: dict = {}
+            for piece in self.ids:
+                node = grown
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = piece
+
+            def packed(node: dict) -> dict[str, tuple]:
+                return {c: (packed(own), "" in own, own.get("", "")) for c, own in node.items() if c}
+
+            self.tree = packed(grown)
+        return self.tree
 
     def search(self, text: Iterable[str]) -> Iterator[str]:
         """The pieces of a stream of characters, given out as soon as they are certain.
@@ -128,67 +145,70 @@ class Pieces:
         the highest sum of scores; of a BPE model, the one whose last piece is
         a neighbour that merging would leave beside the piece before (there is
         exactly one, and a way is right as a whole if all its neighbours are).
-        Only the last ``longest`` places can still be left from; where the ways
-        back from all of them meet, what lies before is certain, is given out
-        and forgotten.
+        Pieces that end at a place are found by going back through the tree of
+        pieces. Only the last ``longest`` places can still be left from; where
+        the ways back from all of them meet, what lies before is certain, is
+        given out and forgotten.
         """
-        held, base = "", 0  # characters from place base on
-        came: dict[int, tuple[str, float]] = {0: ("", 0.0)}
-        end = committed = 0
-        bpe, ids, tails, fits = self.rule == BPE, self.ids, self.tails, self.fits
+        held: list[str] = []  # characters since the last certain place, and of each place the last piece, what fits behind it, and the score
+        last: list[str | None] = [""]
+        rows: list[dict[str, bool]] = [self.fits.setdefault("", {})]
+        sums = [0.0]
+        bpe, ids, root = self.rule == BPE, self.ids, self._backwards()
         for c in text:
-            held += c
-            end += 1
-            best: tuple[str, float] | None = None
-            for size in range(1, end - committed + 1):
-                piece = held[-size:]
-                if size > 1:
-                    if piece not in tails:
+            held.append(c)
+            kids, end = root, len(held)
+            start, best, score = end, None, 0.0
+            while start:
+                start -= 1
+                node = kids.get(held[start])
+                if node is None:
+                    if start < end - 1:
                         break
-                    if piece not in ids:
+                    node = ({}, False, "")
+                kids, whole, piece = node
+                if not whole:
+                    if start < end - 1:
                         continue
-                if (before := came.get(end - size)) is None:
+                    piece = c  # a character without a piece
+                if last[start] is None:
                     continue
                 if bpe:
-                    fit = fits.get((before[0], piece))
-                    if fit or fit is None and self.neighbours(before[0], piece):
-                        best = (piece, 0.0)
+                    fit = rows[start].get(piece)
+                    if fit or fit is None and self.neighbours(last[start], piece):
+                        best = piece
                         break
                 else:
-                    score = before[1] + (self.scores[ids[piece]] if piece in ids else self.missing)
-                    if best is None or score >= best[1]:
-                        best = (piece, score)
-            if best is not None:
-                came[end] = best
-            if end - committed >= 4 * self.longest:
-                done, at = self._meeting(came, committed, end)
-                yield from done
-                if at > committed:
-                    committed = at
-                    held, base = held[at - base :], at
-                    came = {p: way for p, way in came.items() if p >= at}
-        yield from self._back(came, committed, end)
+                    total = sums[start] + (self.scores[ids[piece]] if whole else self.missing)
+                    if best is None or total >= score:
+                        best, score = piece, total
+            last.append(best)
+            sums.append(score)
+            rows.append(self.fits.setdefault(best, {}) if bpe and best is not None else {})
+            if end >= 4 * self.longest and (at := self._meeting(last)):
+                yield from self._back(last, at)
+                held, last, rows, sums = held[at:], last[at:], rows[at:], sums[at:]
+        yield from self._back(last, len(held))
 
     @staticmethod
-    def _back(came: dict[int, tuple[str, float]], first: int, last: int) -> list[str]:
+    def _back(last: list[str | None], end: int) -> list[str]:
         out = []
-        while last > first:
-            out.append(came[last][0])
-            last -= len(out[-1])
+        while end:
+            out.append(last[end])
+            end -= len(out[-1])
         return out[::-1]
 
-    def _meeting(self, came: dict[int, tuple[str, float]], committed: int, end: int) -> tuple[list[str], int]:
-        """The pieces up to the last place that the ways back from all open places pass."""
+    def _meeting(self, last: list[str | None]) -> int:
+        """The last place that the ways back from all open places pass."""
         common: set[int] | None = None
-        for last in range(end - self.longest + 1, end + 1):
-            if last in came:
-                way, at = {last}, last
-                while at > committed:
-                    at -= len(came[at][0])
+        for end in range(len(last) - self.longest, len(last)):
+            if last[end] is not None:
+                way, at = {end}, end
+                while at:
+                    at -= len(last[at])
                     way.add(at)
                 common = way if common is None else common & way
-        at = max(common or {committed})
-        return self._back(came, committed, at), at
+        return max(common or {0})
 
     def _numbers(self, pieces: Iterable[str]) -> Iterator[int]:
         for piece in pieces:
@@ -283,21 +303,31 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model: bytes, *, words: int = MEMORY) -> DataFrame:
-    """doc_id, n_ids, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 (of the decoded text), exact.
+def round_trip(docs: DataFrame, model: bytes, *, words: int = MEMORY, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_ids, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 (of the decoded text), exact; and ids, if wanted.
 
     ``exact`` is false only for texts with U+2581, which stands for a blank
     (and for such as a model without byte fallback has no pieces for).
+
+    Defined cases: null and empty texts have no ids; a text of any length is
+    searched as a stream; repeated rows are answered each; a null id stays;
+    columns but doc_id and text are not read.
     """
 
     def made(pieces: Pieces, texts: list[str]) -> dict[str, pa.Array]:
-        rows = []
+        rows, every = [], []
         for text in texts:
             packed = pieces.encode_packed(text)
             ids = np.frombuffer(packed, "<i4").tolist()
             back = pieces.decode(ids)
             rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
+            if with_ids:
+                every.append(packed)
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-        return {n: pa.array(c, k) for n, c, k in zip(("n_ids", "ids_sha256", "decoded_sha256", "exact"), zip(*rows), kinds, strict=True)}
+        found = {n: pa.array(c, k) for n, c, k in zip(("n_ids", "ids_sha256", "decoded_sha256", "exact"), zip(*rows), kinds, strict=True)}
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum([r[0] for r in rows])]).astype(np.int32)
+            found["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(every), "<i4")))
+        return found
 
-    return _mapped(docs, model, made, "n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean", words)
+    return _mapped(docs, model, made, "n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * with_ids, words)
