@@ -370,6 +370,32 @@ def test_near_duplicates_are_brute_force(spark, percent, cell):
     assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, False)]
 
 
+def by_rows(rows, percent):
+    """component_id of each id, where all texts of an id are one node: by comparing all pairs of sets."""
+    root = {i: i for i, _ in rows}
+    sets = [(i, shingles(t)) for i, t in rows]
+    edges = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a & b and 100 * len(a & b) >= percent * len(a | b)]
+    for _ in rows:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_ids_of_several_texts_have_the_links_of_all(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"v{rng.randrange(500)}" for _ in range(n))
+    a, b, c, d = (words(60) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (9, c), (8, c), (9, d), (7, d + " more"), (6, words(50)), (6, words(50)), (1, a), (4, a), (4, c), (5, "")]
+    want = by_rows(rows, 85)
+    assert want[3] == 1 and want[7] == 1
+    for seed in range(3):
+        rng.shuffle(rows)
+        frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS node", "1 AS family", "2 AS component_id")
+        for cell in (minhash.CELL_SHINGLES, 60):
+            got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame, percent=85, cell_shingles=cell).collect())
+            assert got == sorted((i, len(shingles(t)), want[i], want[i] == i) for i, t in rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     assert {(r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, [(1, None, "", "", 0), (2, " ", "", "", 0)])).collect()} == {(1, True), (2, True)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: of each node on an edge (u, v), the smallest node that it can reach.
 
     Each round is two grouped minima, which are partial before their shuffle,
@@ -26,7 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark, where = edges.sparkSession, shared_dir(edges.sparkSession)
     now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, state, old = written(now, f"{where}/0"), None, None
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")), f"{where}/{i}-least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -42,6 +44,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (new := _state(after)) == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not converge")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, mix64, shared_dir, written
+from .common import byte_values, chunks, mix64, scratch, shared_dir, written
 from .graph import components
 
 SHINGLE = 5
@@ -95,7 +96,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (a 128-bit hash of the set), bands (one key each; empty if the set is)."""
+    """doc_id, n_shingles, f1, f2 (BLAKE2b of the whole sorted set, 128 bits), bands (one key each; empty if the set is)."""
     schema = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,19 +106,12 @@ def sketches(docs: DataFrame, *, size: int = SHINGLE, bands: int = BANDS, rows:
                 sets = shingle_sets([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)], size)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                f1, f2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                keys = np.zeros((0, bands), np.uint64)
-                if len(full):
-                    own = [sets[i] for i in full]
-                    begins = np.cumsum(sizes[full]) - sizes[full]
-                    flat = np.concatenate(own)
-                    f1[full] = np.add.reduceat(mix64(flat ^ np.uint64(0xA0761D6478BD642F)), begins)
-                    f2[full] = np.bitwise_xor.reduceat(mix64(flat + np.uint64(0xE7037ED1A0B428DB)), begins)
-                    keys = band_keys(signatures(own, bands * rows), bands, rows)
+                whole = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
+                keys = band_keys(signatures([sets[i] for i in full], bands * rows), bands, rows) if len(full) else np.zeros((0, bands), np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(sizes), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists],
+                    [batch.column(0).slice(first, last - first), pa.array(sizes), pa.array(whole[:, 0]), pa.array(whole[:, 1]), lists],
                     names=["doc_id", "n_shingles", "f1", "f2", "bands"],
                 )
 
@@ -196,6 +190,8 @@ def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             label = linked(sets, percent)
             ids = np.array(nodes, np.int64)
+            for i in np.flatnonzero(ids[1:] == ids[:-1]):  # texts that share an id are one node
+                label[label == label[i + 1]] = label[i]
             root = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(root, label, ids)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root[label])], names=["node", "root"])
@@ -210,7 +206,10 @@ def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
                         if nodes:
                             yield out()
                         cell, nodes, sets = key, [], []
-                    if not nodes or nodes[-1] != node:  # a row that repeats an id
+                    again = len(nodes)
+                    while again and nodes[again - 1] == node and not np.array_equal(sets[again - 1], shingles):
+                        again -= 1
+                    if not again or nodes[again - 1] != node:  # not a row that repeats an id and its set
                         nodes.append(node)
                         sets.append(shingles)
         if nodes:
@@ -222,8 +221,8 @@ def _verified(members: DataFrame, size: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
-    1. Sketches: signature, band keys and a 128-bit hash of the shingle set.
-    2. Equal sets form a class; its smallest id alone goes on.
+    1. Sketches: signature, band keys and a 128-bit cryptographic hash of the whole shingle set.
+    2. Equal sets form a class; its smallest id, the node, alone goes on.
     3. In each bucket of a band, members are tied to the smallest (a star, never all pairs);
        components of these unverified ties are families.
     4. A family's texts meet in one cell, where links are verified on full sets. A family of more
@@ -232,37 +231,61 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, size: int = SHINGLE,
 
     Defined cases: a text without words, or null, has no shingles and is linked
     with nothing; a null id has no component and is not kept; rows that repeat
-    an id are one node; equal sets are linked whatever their texts are.
+    an id are one node, with the links of all its texts; equal sets are linked
+    whatever their texts are; columns but doc_id and text are not read.
     """
     spark = docs.sparkSession
     where = shared_dir(spark)
     sketch = written(sketches(docs, size=size, bands=bands, rows=rows), f"{where}/sketches")
     full = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), f"{where}/classes")
-    members = written(full.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), f"{where}/members")
-
-    keys = members.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
-    stars = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where(F.col("pivot") < F.col("top")).drop("top")
-    ties = keys.join(stars, "key").where(F.col("node") != F.col("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    families = components(ties)
-
-    sizes = members.where(F.col("bands").isNotNull()).groupBy("node").agg(F.max("n_shingles").alias("n"))
-    placed = families.join(sizes, "node").select("node", F.col("root").alias("family"), "n")
-    blocks = placed.groupBy("family").agg(F.ceil(F.sum("n") * 2 / F.lit(float(cell_shingles))).alias("blocks"))
-    blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, F.lit(1)).otherwise(F.col("blocks")).cast("int"))
-    placed = written(placed.join(blocks, "family").select("node", "family", "blocks"), f"{where}/families")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = placed.withColumn("mine", mine).select("node", "family", "mine", other.alias("other")).select(
-        "node", "family", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right")
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    links = written(_verified(texts.join(cells, "node"), size, percent), f"{where}/links")
-    if placed.where(F.col("blocks") > 1).limit(1).count():
-        links = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    with scratch(spark):
+        classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), shared_dir(spark))
+        members = written(full.join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), f"{where}/members")
+
+        keys = members.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
+        stars = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where(F.col("pivot") < F.col("top")).drop("top")
+        ties = keys.join(stars, "key").where(F.col("node") != F.col("pivot")).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+        families = components(ties)
+
+        sizes = members.where(F.col("bands").isNotNull()).groupBy("node").agg(F.max("n_shingles").alias("n"))
+        placed = families.join(sizes, "node").select("node", F.col("root").alias("family"), "n")
+        blocks = placed.groupBy("family").agg(F.ceil(F.sum("n") * 2 / F.lit(float(cell_shingles))).alias("blocks"))
+        blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, F.lit(1)).otherwise(F.col("blocks")).cast("int"))
+        placed = written(placed.join(blocks, "family").select("node", "family", "blocks"), shared_dir(spark))
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        cells = placed.withColumn("mine", mine).select("node", "family", "mine", other.alias("other")).select(
+            "node", "family", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right")
+        )
+        texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+        links = written(_verified(texts.join(cells, "node"), size, percent), f"{where}/links")
+        # an id of several texts ties the nodes of all of them
+        several = members.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("top")).where(F.col("least") < F.col("top"))
+        shared = written(members.join(several, "doc_id").where(F.col("node") != F.col("least")).select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), shared_dir(spark))
+        if shared.limit(1).count() or placed.where(F.col("blocks") > 1).limit(1).count():
+            links = written(components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(shared)), f"{where}/components")
     found = members.select("doc_id", "node").join(links.where(F.col("node") != F.col("root")).distinct(), "node", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("root", "node")).alias("component_id")
     )
     every = sketch.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return every.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+_A_TO_Z = "".join(map(chr, range(65, 91)))
+#: For rows that have an id, at 85 percent.
+ORACLE_SQL = rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_A_TO_Z}', '{_A_TO_Z.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT row, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s FROM (
+  SELECT row, w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT row, count(*) AS n FROM shingles GROUP BY row),
+sized AS (SELECT row, s, n FROM shingles JOIN sizes USING (row)),
+pairs AS (SELECT a.row AS u, b.row AS v FROM sized a JOIN sized b ON a.s = b.s AND a.row < b.row AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.row, b.row HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))),
+edges AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs UNION
+  SELECT a.row, b.row FROM docs a JOIN docs b USING (doc_id) JOIN sizes x ON x.row = a.row JOIN sizes y ON y.row = b.row WHERE a.row <> b.row),
+reached AS (SELECT row AS u, row AS v FROM sizes UNION SELECT r.u, e.v FROM reached r JOIN edges e ON e.u = r.v),
+roots AS (SELECT u AS row, min(doc_id) AS root FROM reached JOIN docs ON docs.row = v GROUP BY u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM docs LEFT JOIN sizes USING (row) LEFT JOIN roots USING (row)
+"""
