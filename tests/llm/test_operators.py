@@ -550,6 +550,57 @@ def test_suffix_dedup_cases(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("cell", [suffix_dedup.CELL, 20])
+def test_rows_that_repeat_a_document(spark, cell):
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text, part = words(3000), words(260)
+    rows = [(None, text)] * 3000 + [(7, part + words(90))] * 40 + [(8, words(90) + part)] + [(9, words(150))] * 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS at", "'x' AS anchor", "2 AS spans", "3 AS doc_key").repartition(4)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame, cell=cell).collect())
+    assert got == {(None, 3000, 3000, 1): 3000, (7, 350, 350, 1): 40, (8, 350, 260, 1): 1, (9, 150, 0, 0): 30}
+
+
+def repeats(texts, length):
+    """Maximal repeats by trying all pairs of places: bytes -> places. None is both left- and right-extendable alike in all of its places."""
+    found = set()
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[: i + 1]):
+            for x in range(len(a)):
+                for y in range(len(b) if i != j else x):
+                    if x and y and a[x - 1] == b[y - 1]:
+                        continue
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if n >= length:
+                        found.add(a[x : x + n])
+    return {f: {(i, x) for i, t in enumerate(texts) for x in range(len(t) - len(f) + 1) if t[x : x + len(f)] == f} for f in found}
+
+
+def test_groups_are_the_maximal_repeats(spark):
+    rng = random.Random(21)
+    words = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    one, two = words(26), words(24)
+    texts = [words(9) + one[rng.randrange(6) : rng.randrange(20, 27)] + words(5) + two[rng.randrange(4) :] + words(4) for _ in range(12)] + [one + two, one + two, one]
+    want = {hashlib.blake2b(f, digest_size=16).hexdigest(): (len(f), places) for f, places in repeats(texts, 12).items()}
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    # windows of 12 bytes are what must be found, so a repeat of up to 12 bytes behind and 8 before its anchor is seen whole
+    got = {}
+    for r in suffix_dedup.repeat_groups(frame, length=12, gram=4).collect():
+        got.setdefault((r.repeat, r.length, r.cut), set()).add((r.doc_id, r.start))
+    whole = {k: (n, places) for (k, n, cut), places in got.items() if not cut}
+    assert whole and all(want[k] == found for k, found in whole.items())
+    assert all(len(places) > 1 and {texts[i][x : x + n] for i, x in places} and len({texts[i][x : x + n] for i, x in places}) == 1 for (_, n, _), places in got.items())
+    for k, (n, places) in want.items():  # one that is longer comes in parts that cover it
+        if k not in whole:
+            for i, x in places:
+                hit = {y for (_, m, cut), own in got.items() for (j, s) in own if j == i for y in range(s, s + m)}
+                assert hit >= set(range(x, x + n))
+    windows = suffix_dedup.repeat_groups(frame, length=12, gram=4, cell=1)
+    assert {(r.doc_id, y) for r in windows.collect() for y in range(r.start, r.start + r.length)} == {(i, y) for (_, n, _), own in got.items() for i, x in own for y in range(x, x + n)}
+
+
 def test_long_documents_are_cut_for_hashing(spark):
     rng = random.Random(9)
     own = "".join(rng.choice("abcdefghij ") for _ in range(1_100_000))

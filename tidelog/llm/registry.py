@@ -84,4 +84,5 @@ ORACLES: dict[str, str] = {
     "op6_minhash": minhash.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
+    "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }

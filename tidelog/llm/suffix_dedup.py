@@ -16,10 +16,12 @@ from .common import byte_values, chunks, document_key, mix64, shared_dir, writte
 LENGTH = 200
 #: Bytes of an anchor.
 GRAM = 50
-#: Occurrences of an anchor that one task sorts; those of commoner anchors go by hashed windows, without a group.
+#: Occurrences of an anchor that one task sorts; those of commoner anchors go by windows, grouped by hash and bytes.
 CELL = 1 << 16
 #: Bytes of a document that are hashed at a time.
 SEGMENT = 1 << 20
+#: Stands for a null id.
+NO_ID = -(2**63)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -200,15 +202,16 @@ def common_prefix_intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, begin))
 
 
-def maximal_repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeats around anchors: shared bytes from the anchor on, members, and each member's shared bytes before it.
+def maximal_repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Maximal repeats of ``length`` bytes or more around anchors: bytes from the anchor on, bytes before it, and all members.
 
-    Suffixes that begin at anchors are sorted, and the intervals of the common
-    prefixes scanned. Within an interval, members sorted by the bytes before
-    them show how far each extends to the left with another: where all extend
-    alike the interval is no repeat of its own (it is not left-diverse at this
-    depth, and longer to the left); what is given is the longest extension of
-    each member that makes ``length`` bytes or more with the depth.
+    Suffixes that begin at anchors are sorted, and the intervals of their
+    common prefixes scanned. The members of an interval, sorted by the bytes
+    before their anchors, have intervals of common extensions to the left in
+    turn; such a one is left-diverse, as two of its members differ in the byte
+    before, or one has none. It is a repeat of its own if it is right-diverse
+    as well, that is, if its members are not all within one child of the first
+    interval; else that child gives it, and longer.
     """
     right, right_size = _padded(rights, length)
     left, left_size = _padded(lefts, length - gram)
@@ -220,28 +223,60 @@ def maximal_repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes],
         lcp[1:] = np.where(group[order[1:]] == group[order[:-1]], _common(right, right_size, order[:-1], order[1:]), -1)
     for depth, first, last in common_prefix_intervals(lcp):
         members = order[first : last + 1]
-        members = members[np.argsort(rank[members])]
+        by_left = np.argsort(rank[members])
+        members = members[by_left]
         shared = _common(left, left_size, members[:-1], members[1:])
-        edge = np.zeros(1, np.int64)
-        extension = np.maximum(np.concatenate([edge, shared]), np.concatenate([shared, edge]))
-        if len(enough := np.flatnonzero(extension + depth >= length)):
-            yield depth, members[enough], extension[enough]
+        long = np.concatenate([[False], shared + depth >= length, [False]])
+        if not long.any():
+            continue
+        if len(members) == 2:
+            yield depth, int(shared[0]), members
+            continue
+        child = np.concatenate([[0], np.cumsum(lcp[first + 1 : last + 1] == depth)])[by_left]
+        edges = np.flatnonzero(long[1:] != long[:-1])
+        for a, b in zip(edges[::2], edges[1::2] + 1, strict=True):
+            for extension, low, high in common_prefix_intervals(np.concatenate([[-1], shared[a : b - 1]])):
+                own = slice(a + low, a + high + 1)
+                if (child[own] != child[a + low]).any():
+                    yield depth, extension, members[own]
+
+
+def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by anchor, some thousand at a time, cut between anchors."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        size += len(batch)
+        if size < 8000:
+            continue
+        whole = pa.Table.from_batches(held)
+        anchor = whole["anchor"].to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+        if cut:
+            yield whole.slice(0, cut)
+            held, size = whole.slice(cut).to_batches(), len(whole) - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _repeats_of(rows: pa.Table, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    return maximal_repeats(rows["anchor"].to_numpy(), rows["left"].to_pylist(), rows["right"].to_pylist(), length, gram)
 
 
 def _covered(cells: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, doc_key, start, stop: what each anchor shows to be repeated. Rows come sorted by anchor."""
+    """doc_id, doc_key, start, stop: what the maximal repeats around each anchor cover, and the ranges that repeat themselves. Rows come sorted by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_anchors(batches):
             own = rows["stop"].is_valid().to_numpy()
             if own.any():
                 yield from rows.filter(pa.array(own)).select(["doc_id", "doc_key", "at", "stop"]).rename_columns(["doc_id", "doc_key", "start", "stop"]).to_batches()
                 rows = rows.filter(pa.array(~own))
-            group = rows["anchor"].to_numpy()
-            low, high = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
-            for depth, members, extension in maximal_repeats(group, rows["left"].to_pylist(), rows["right"].to_pylist(), length, gram):
+            low, high = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            for depth, extension, members in _repeats_of(rows, length, gram):  # each holds its anchor, so together they are one range
                 low[members] = np.maximum(low[members], extension)
                 high[members] = np.maximum(high[members], depth)
             if len(hit := np.flatnonzero(high)):
@@ -252,56 +287,108 @@ def _covered(cells: DataFrame, length: int, gram: int) -> DataFrame:
                     names=["doc_id", "doc_key", "start", "stop"],
                 )
 
-        size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            size += len(batch)
-            if size < 8000:
-                continue
-            whole = pa.Table.from_batches(held)
-            anchor = whole["anchor"].to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
-            if cut:
-                yield from out(whole.slice(0, cut))
-                held, size = whole.slice(cut).to_batches(), len(whole) - cut
-        if held:
-            yield from out(pa.Table.from_batches(held))
-
     return cells.select("anchor", "doc_id", "doc_key", "at", "stop", "left", "right").mapInArrow(run, "doc_id long, doc_key long, start long, stop long")
 
 
-def _windows(hot: DataFrame, length: int, gram: int) -> DataFrame:
-    """Each whole window around each hot anchor: doc_id, doc_key, start, and a 128-bit hash of its bytes."""
+def _grouped(cells: DataFrame, length: int, gram: int) -> DataFrame:
+    """repeat, length, cut, doc_id, doc_key, start: a row for each occurrence of each maximal repeat."""
+    schema = "repeat string, length long, cut boolean, doc_id long, doc_key long, start long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_anchors(batches):
+            rows = rows.filter(rows["stop"].is_null()).combine_chunks()
+            at, left, right = rows["at"].to_numpy(), rows["left"], rows["right"]
+            for depth, extension, members in _repeats_of(rows, length, gram):
+                one = int(members[0])
+                text = left[one].as_py()[:extension][::-1] + right[one].as_py()[:depth]
+                own = rows.select(["doc_id", "doc_key"]).take(pa.array(members)).combine_chunks()
+                n, cut = len(members), extension == length - gram or depth == length
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashlib.blake2b(text, digest_size=16).hexdigest()] * n), pa.array([len(text)] * n, pa.int64()), pa.array([cut] * n),
+                     own["doc_id"].combine_chunks(), own["doc_key"].combine_chunks(), pa.array(at[members] - extension)],
+                    names=["repeat", "length", "cut", "doc_id", "doc_key", "start"],
+                )
+
+    return cells.select("anchor", "doc_id", "doc_key", "at", "stop", "left", "right").mapInArrow(run, schema)
+
+
+def _windows(hot: DataFrame, length: int) -> DataFrame:
+    """Each whole window around each hot anchor: doc_id, doc_key, start, its bytes, and a 128-bit hash of them."""
     rows = hot.select("doc_id", "doc_key", (F.col("at") - F.length("left")).alias("begin"), F.concat("left", "right").alias("bytes"), F.length("left").alias("ahead"))
     last = F.least(F.col("ahead"), F.length("bytes") - length)
     rows = rows.where(F.length("bytes") >= length).select("doc_id", "doc_key", "begin", "bytes", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     window = F.substring(F.col("bytes"), F.col("i") + 1, F.lit(length))
-    return rows.select("doc_id", "doc_key", (F.col("begin") + F.col("i")).alias("start"), F.xxhash64(window).alias("h1"), F.xxhash64(F.lit("second half"), window).alias("h2"))
+    return rows.select("doc_id", "doc_key", (F.col("begin") + F.col("i")).alias("start"), window.alias("window"), F.xxhash64(window).alias("h1"), F.xxhash64(F.lit("second half"), window).alias("h2"))
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
-    """doc_id, doc_key, start, stop of byte ranges that repeated strings of ``length`` bytes cover: by suffix arrays, and by hash for anchors of over ``cell`` occurrences."""
+def _repeated_windows(hot: DataFrame, length: int) -> DataFrame:
+    """doc_id, doc_key, start, h3 of windows that stand in two places or more: grouped by hash and bytes, partial before the shuffle."""
+    windows, place = _windows(hot.dropDuplicates(["doc_id", "doc_key", "at"]), length), ("doc_id", "doc_key", "start")
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in place for f in (F.min, F.max)]
+    elsewhere = F.array_contains(F.array(*[F.col(f"{c}_min") != F.col(f"{c}_max") for c in place]), True)
+    twice = windows.groupBy("h1", "h2", "window").agg(*ends).where(elsewhere)
+    light = windows.select("doc_id", "doc_key", "start", "h1", "h2", F.md5("window").alias("h3"))
+    return light.join(twice.select("h1", "h2", F.md5("window").alias("h3")), ["h1", "h2", "h3"])
+
+
+def _around(docs: DataFrame, found: DataFrame, kind: DataFrame, hot: bool, length: int, gram: int) -> DataFrame:
+    """The bytes around the anchors of a kind. A place counts once, however many rows repeat a document, so each of these rows is read with its own places only."""
+    chosen = found.join(kind, "anchor", "left").where(F.col("n").isNotNull() & F.col("stop").isNull() | F.lit(not hot) & F.col("stop").isNotNull())
+    places = chosen.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("at", "anchor", F.lit(hot).alias("hot"), "stop")).alias("places"))
+    return _contexts(docs.join(places, ["doc_id", "doc_key"]), length, gram)
+
+
+def _kinds(docs: DataFrame, length: int, gram: int, cell: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Anchors; the contexts of those of up to ``cell`` occurrences, dealt out and sorted by anchor; and of commoner ones, if there are."""
     where = shared_dir(docs.sparkSession)
     found = _anchors(docs, length, gram)
     often = written(found.where(F.col("stop").isNull()).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), where)
+    cells = _around(docs, found, often.where(F.col("n") <= cell), False, length, gram).repartition("anchor").sortWithinPartitions("anchor")
+    common = often.where(F.col("n") > cell)
+    hot = written(_around(docs, found, common, True, length, gram), f"{where}-hot") if common.limit(1).count() else None
+    return found, cells, hot
 
-    def around(kind: DataFrame, hot: bool) -> DataFrame:
-        chosen = found.join(kind, "anchor", "left").where(F.col("n").isNotNull() & F.col("stop").isNull() | F.lit(not hot) & F.col("stop").isNotNull())
-        places = chosen.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("at", "anchor", F.lit(hot).alias("hot"), "stop")).alias("places"))
-        return _contexts(docs.join(places, ["doc_id", "doc_key"]), length, gram)
 
-    cells = around(often.where(F.col("n") <= cell), False).repartition("anchor").sortWithinPartitions("anchor")
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
+    """doc_id, doc_key, start, stop of byte ranges that repeated strings of ``length`` bytes cover.
+
+    By the maximal repeats of suffix arrays; and by windows, compared by their
+    bytes, for anchors of over ``cell`` occurrences. There, rows that repeat a
+    document are not two places, and such a document is covered whole.
+    """
+    _, cells, hot = _kinds(docs, length, gram, cell)
     spans = _covered(cells, length, gram)
-    common = often.where(F.col("n") > cell)
-    if common.limit(1).count():
-        windows = _windows(written(around(common, True), f"{where}-hot"), length, gram).distinct()
-        twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-        spans = spans.unionByName(windows.join(twice, ["h1", "h2"]).select("doc_id", "doc_key", "start", (F.col("start") + length).alias("stop")))
+    if hot is not None:
+        windows = _repeated_windows(hot, length)
+        again = docs.groupBy("doc_id", "doc_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).cast("long").alias("stop")).where((F.col("n") > 1) & (F.col("stop") >= length))
+        spans = spans.unionByName(windows.select("doc_id", "doc_key", "start", (F.col("start") + length).alias("stop")))
+        spans = spans.unionByName(again.select("doc_id", "doc_key", F.lit(0).cast("long").alias("start"), "stop"))
     return spans
 
 
+def repeat_groups(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
+    """Maximal repeats with all their occurrences, one a row: repeat (hash of its bytes), length, cut, doc_id, doc_key, start.
+
+    A repeat is found around each anchor in it, ``length`` bytes from the anchor
+    on and ``length - gram`` before it; ``cut`` tells that it reaches an end of
+    what was seen there and may go on in both, its next anchor giving the next
+    part. Of anchors with over ``cell`` occurrences windows of ``length`` bytes
+    come, cut. Text that repeats itself a period on is no group; see ``spans``
+    of :func:`remove_repeats`. A group's rows are never gathered.
+    """
+    rows = _rows(docs)
+    _, cells, hot = _kinds(rows, length, gram, cell)
+    groups = _grouped(cells, length, gram)
+    if hot is not None:
+        groups = groups.unionByName(_repeated_windows(hot, length).select(F.col("h3").alias("repeat"), F.lit(length).cast("long").alias("length"), F.lit(True).alias("cut"), "doc_id", "doc_key", "start"))
+    return groups.distinct().withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID for null, which joins; the key tells the two apart), doc_key, text as bytes."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), document_key().alias("doc_key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, spans, kept (the remaining bytes).
 
@@ -310,18 +397,17 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, c
     Periodic text, which would have an anchor each period, is settled where it
     stands.
     An anchor's occurrences meet in one task up to ``cell`` of them; of
-    commoner ones every window is counted by its hash, which is partial before
-    the shuffle and never gathers a group.
+    commoner ones every window is grouped by its hash and bytes, which is
+    partial before the shuffle and never gathers a group.
 
     Defined cases: a null text is empty; strings never cross documents; a row
     that repeats another's text, with its id or another, repeats every string
     in it; documents under ``length`` bytes stay whole; bytes need not be UTF-8
-    after removal.
+    after removal; columns but doc_id and text are not read.
     """
-    null = F.lit(-(2**63))  # stands for a null id in joins; document_key tells the two apart
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), null).alias("doc_id"), document_key().alias("doc_key"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    spans = repeated_spans(rows, length=length, gram=gram, cell=cell).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = rows.join(spans, ["doc_id", "doc_key"], "left").select(F.nullif("doc_id", null).alias("doc_id"), "text", "spans")
+    rows = _rows(docs)
+    spans = repeated_spans(rows, length=length, gram=gram, cell=cell).groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    both = rows.join(spans, ["doc_id", "doc_key"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,3 +461,21 @@ def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int
         spans = sum(1 for i in range(len(t)) if gone[i] and (i == 0 or not gone[i - 1]))
         out.append((len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
     return out
+
+
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT row, doc_id, h, length(h) // 2 AS n FROM docs),
+parts AS (SELECT row, c * 1000 AS base, h[c * 2000 + 1 : c * 2000 + {2 * (999 + LENGTH)}] AS piece FROM (SELECT row, h, unnest(range(0, (n + 999) // 1000)) AS c FROM sized)),
+windows AS (SELECT row, base + i AS p, md5(piece[2 * i + 1 : 2 * (i + {LENGTH})]) AS m FROM (SELECT row, base, piece, unnest(range(0, least(1000, length(piece) // 2 - {LENGTH - 1}))) AS i FROM parts WHERE length(piece) >= {2 * LENGTH})),
+twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+gone AS (SELECT row, p FROM windows SEMI JOIN twice USING (m)),
+marked AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY row ORDER BY p) > {LENGTH}, true) AS fresh FROM gone),
+spans AS (SELECT row, nth, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY row ORDER BY p) AS nth FROM marked) GROUP BY row, nth),
+kept AS (SELECT row, a, h[2 * coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) + 1 : 2 * a] AS piece FROM spans JOIN sized USING (row)
+  UNION ALL SELECT row, n + 1, h[2 * coalesce(max(b), 0) + 1 :] FROM sized LEFT JOIN spans USING (row) GROUP BY row, n, h),
+texts AS (SELECT row, string_agg(piece, '' ORDER BY a) AS k FROM kept GROUP BY row),
+sums AS (SELECT row, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY row)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM sized JOIN texts USING (row) LEFT JOIN sums USING (row)
+"""
