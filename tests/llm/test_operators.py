@@ -655,6 +655,57 @@ def test_license_scan_finds_notices_among_words(spark):
     assert [got[i] for i in range(len(want))] == list(want.values()) and {got[100 + i] for i in range(300)} == {None}
 
 
+def tf_idf(texts):
+    """Cosine of two lists of words by the definition, over the documents ``texts``."""
+    often = Counter(t for x in texts for t in set(re.findall("[a-z0-9]+", x.lower())))
+
+    def weighed(words):
+        return {t: n * (math.log((1 + len(texts)) / (1 + often[t])) + 1) for t, n in Counter(words).items()}
+
+    def cosine(a, b):
+        a, b = weighed(a), weighed(b)
+        norm = math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+        return sum(w * b.get(t, 0) for t, w in a.items()) / norm if norm else 0.0
+
+    return cosine
+
+
+def test_license_cosines_are_brute_force(spark):
+    templates = license_scan.both(license_scan.TEMPLATES, license_scan.full_texts())
+    texts = [r.text or "" for r in sample(spark).collect()] + ["MIT", "Apache\n\nLicense", "a\nb the\n\nof any license version", *(x for own in templates.values() for x in own[:1])]
+    cosine, words = tf_idf(texts), lambda x: re.findall("[a-z0-9]+", x.lower())
+    forms = [(name, words(x)) for name, own in sorted(templates.items()) for x in own]
+    documents, often = license_scan._term_counts(spark.createDataFrame([(x,) for x in texts], "text string"), frozenset(t for _, x in forms for t in x), 0.0)
+    assert documents == len(texts) and often == Counter(t for x in texts for t in set(words(x)))
+    scanner = license_scan.Scanner(templates, documents, often)
+    for text in texts:
+        units = [words(x) for x in text.split("\n")] + [words(x) for x in re.split(r"\n[^a-zA-Z0-9\n]*\n", text)] + [words(text)]
+        want = max(cosine(u, f) for u in units for _, f in forms)
+        got, name, _ = scanner.scan(text, 0.7)
+        if want >= 0.7:
+            assert got >= want - 1e-9 and name
+        else:
+            assert got == pytest.approx(want) or got >= 0.7  # a window within a paragraph
+
+
+def test_whole_licence_texts_are_told_apart(spark):
+    texts = license_scan.full_texts()
+    assert {"BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "Unlicense"} <= set(texts)
+    changed = lambda x: x.replace("Copyright (c)", "Copyright (c) 1998-2020 Some Body and others. All rights reserved.")
+    rows = [(i, f"{name}/LICENSE", "A project of ours\n\n" + changed(x)) for i, (name, (x,)) in enumerate(texts.items())] + [(100 + i, f"{name}/src/a.c", "int main") for i, name in enumerate(texts)]
+    rows += [(200, "x/LICENSE", "\n".join(texts["Apache-2.0"][0].split("\n")[:6])), (300, "x/y/z", None)] + [(1000 + i, f"z/{i}", "plain words of a text, under the sea, for any use of the software " * 3) for i in range(300)]
+    got = {r.doc_id: (r.license, r.inherited_from) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, name in enumerate(texts):
+        assert got[i] == (name, None) and got[100 + i] == (name, name)
+    assert got[200] == ("Apache-2.0", None) and got[300] == ("Apache-2.0", "x") and {got[1000 + i] for i in range(300)} == {(None, None)}
+
+
+def test_license_of_a_long_text(spark):
+    rows = [(1, "a/b", "free words of no licence " * 40_000 + "\n\nReleased under the MIT License.\n" + "more words " * 40_000), (2, "a/c", None)]
+    got = {r.doc_id: (r.own_license, r.license) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "MIT"), 2: (None, None)}
+
+
 # Pipeline
 
 

@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,13 +20,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    ),
+    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal.",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -40,15 +42,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Short titles and SPDX forms; they count where they stand word for word, as one word less would name another licence or none.
 TITLES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 license", "licensed under Apache 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause", "2-Clause BSD", "BSD-2-Clause"),
     "BSD-3-Clause": ("BSD 3-Clause", "3-Clause BSD", "BSD-3-Clause"),
+    "BSL-1.0": ("Boost Software License", "BSL-1.0"),
     "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0"),
     "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
     "CC0-1.0": ("CC0 1.0",),
+    "GPL-2.0": ("GPL-2.0", "GPLv2", "GPL version 2", "GNU General Public License v2", "GNU General Public License v2.0", "GNU General Public License version 2"),
     "GPL-3.0": ("GPL-3.0", "GPLv3", "GPL version 3", "GNU General Public License v3", "GNU General Public License v3.0", "GNU General Public License version 3"),
+    "ISC": ("ISC License", "SPDX-License-Identifier: ISC"),
+    "LGPL-2.1": ("LGPL-2.1", "LGPLv2.1", "GNU Lesser General Public License v2.1", "GNU Lesser General Public License version 2.1"),
     "LGPL-3.0": ("LGPL-3.0", "LGPLv3", "LGPL version 3", "GNU Lesser General Public License v3", "GNU Lesser General Public License v3.0", "GNU Lesser General Public License version 3"),
     "MIT": ("MIT License", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0"),
+    "Unlicense": ("The Unlicense", "SPDX-License-Identifier: Unlicense"),
 }
+#: Whole licence texts, one a file, named by SPDX identifier.
+TEXTS = Path(__file__).parent / "licenses"
+#: Words that a smaller share of the documents has weigh as a word that none has. So at most 1 / RARE times the words of a mean document are sent to tasks.
+RARE = 1 / 1000
+#: Distinct words that a counting task holds before it hands them on.
+FLUSH_TERMS = 500_000
 #: Least cosine of a notice.
 THRESHOLD = 0.7
 #: A file is its directory's licence file if its name says so or notices make up this share of its words.
@@ -61,12 +75,21 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+def full_texts() -> dict[str, tuple[str, ...]]:
+    return {f.stem: (f.read_text(),) for f in sorted(TEXTS.glob("*.txt"))}
+
+
+def both(notices: dict[str, tuple[str, ...]], texts: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    return {name: notices.get(name, ()) + texts.get(name, ()) for name in sorted({*notices, *texts})}
+
+
 class Scanner:
-    """Template vectors. Terms that no template has weigh as much as a term that no document has."""
+    """Template vectors, and the weight of each term: ln((1 + documents) / (1 + documents that have it)) + 1."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], documents: int, often: dict[str, int], titles: dict[str, tuple[str, ...]] | None = None) -> None:
         self.other = math.log(1 + documents) + 1
-        self.weight = {t: math.log((1 + documents) / (1 + often.get(t, 0))) + 1 for texts in templates.values() for x in texts for t in terms(x)}
+        self.vocabulary = frozenset(t for texts in templates.values() for x in texts for t in terms(x))
+        self.weight = {t: math.log((1 + documents) / (1 + often.get(t, 0))) + 1 for t in self.vocabulary.union(often)}
         self.vectors: list[tuple[str, float]] = []
         self.postings: dict[str, list[tuple[int, float]]] = {}
         self.sizes: list[int] = []
@@ -81,18 +104,22 @@ class Scanner:
                 self.vectors.append((name, length))
                 self.sizes.append(len(terms(text)))
 
-    def best(self, words: list[str]) -> tuple[float, str]:
-        """Highest cosine and its licence; of equals the first by name."""
-        square, dots = 0.0, [0.0] * len(self.vectors)
+    def best(self, words: list[str], floor: float = 0.0) -> tuple[float, int]:
+        """Highest cosine and its template; of equals the first by name. Nothing (-1) is given for a cosine that cannot reach ``floor``, by the share of its length that template terms have."""
+        square, own = 0.0, []
         for t, n in Counter(words).items():
             w = n * self.weight.get(t, self.other)
             square += w * w
-            for i, own in self.postings.get(t, ()):
-                dots[i] += w * own
-        if not square:
-            return 0.0, ""
+            if t in self.postings:
+                own.append((t, w))
+        if not own or sum(w * w for _, w in own) < floor * floor * square * (1 - 1e-9):
+            return 0.0, -1
+        dots = [0.0] * len(self.vectors)
+        for t, w in own:
+            for i, part in self.postings[t]:
+                dots[i] += w * part
         top = max(dots)
-        return top / math.sqrt(square), self.vectors[dots.index(top)][0]
+        return top / math.sqrt(square), dots.index(top)
 
     def windows(self, words: list[str], i: int, threshold: float) -> list[tuple[float, int]]:
         """Cosine and start of each run of as many words as template ``i`` has that comes up to ``threshold``."""
@@ -116,7 +143,7 @@ class Scanner:
                     del counts[t]
             if j >= n - 1 and dot * dot >= (threshold * threshold - 1e-9) * square and dot > 0:
                 cosine, best = self.best(words[j - n + 1 : j + 1])  # without the sums' rounding
-                if best == name and cosine >= threshold:
+                if self.vectors[best][0] == name and cosine >= threshold:
                     found.append((cosine, j - n + 1))
         return found
 
@@ -142,54 +169,75 @@ class Scanner:
         return found
 
     def scan(self, text: str, threshold: float) -> tuple[float, str, float]:
-        """Best notice of the whole text (lines, paragraphs, windows in them, all of it), and the share of words in notices."""
+        """Best notice of the whole text (every line, every paragraph, windows in them, all of it), and the share of words in notices.
+
+        Where the whole is a licence, that is, near a template of half its words
+        or more, it is this licence, whatever others it names. What cannot reach
+        both the threshold and the best so far is not multiplied out.
+        """
         lines = [terms(x) for x in text.split("\n")]
-        words = sum(map(len, lines))
-        hopeful = [self.weight.keys() & set(x) for x in lines]
-        found = [self.best(x) if len(h) >= 2 else (0.0, "") for x, h in zip(lines, hopeful, strict=True)]
-        inside = 0
-        blocks, block, near, hopes, taken = [], [], 0, set(), []
-        for line, hope, (c, _) in zip([*lines, []], [*hopeful, set()], [*found, (0.0, "")], strict=True):
+        every = [t for x in lines for t in x]
+        found: list[tuple[float, str]] = [(0.0, "")]
+        most, inside, nearest = 0.0, 0, -1
+
+        def judged(words: list[str]) -> float:
+            nonlocal most, nearest
+            cosine, nearest = self.best(words, min(most, threshold))
+            found.append((cosine, self.vectors[nearest][0] if nearest >= 0 else ""))
+            most = max(most, cosine)
+            return cosine
+
+        blocks, block, taken = [], [], []
+        for line in [*lines, []]:
             if line:
                 block.append(line)
-                near += len(hope)
-                hopes |= hope
-                taken += [c >= threshold] * len(line)
+                taken += [judged(line) >= threshold] * len(line)
             elif block:
                 own = [t for x in block for t in x]
-                if len(block) > 1 and near >= 2:
-                    blocks.append(own)
-                for cosine, name, first, last in sorted(self.within(own, hopes, threshold), key=lambda x: (-x[0], x[2] - x[3], x[1])):
+                blocks.append((own, len(block)))
+                for cosine, name, first, last in sorted(self.within(own, self.vocabulary.intersection(own), threshold), key=lambda x: (-x[0], x[2] - x[3], x[1])):
                     found.append((cosine, name))
+                    most = max(most, cosine)
                     if not any(taken[first:last]):
                         taken[first:last] = [True] * (last - first)
                 inside += sum(taken)
-                block, near, hopes, taken = [], 0, set(), []
-        if len(blocks) > 1:
-            blocks.append([t for x in lines for t in x])
-        for own in blocks:
-            cosine, name = self.best(own)
-            found.append((cosine, name))
-            if cosine >= threshold:
+                block, taken = [], []
+        if len(blocks) == 1:  # one paragraph is the whole
+            blocks = [(every, blocks[0][1])]
+        else:
+            blocks.append((every, len(blocks)))
+        for own, n in blocks:  # a single line has been judged
+            if n > 1 and judged(own) >= threshold:
                 inside = max(inside, len(own))
+                if own is every and 2 * self.sizes[nearest] >= len(every):
+                    found = found[-1:]
         cosine, name = max(found, key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-        return cosine, name, inside / max(1, words)
+        return cosine, name, inside / max(1, len(every))
 
 
-def _term_counts(texts: DataFrame, vocabulary: frozenset[str]) -> tuple[int, dict[str, int]]:
-    """Documents, and in how many of them each template term stands: over all texts, summed in tasks first."""
+def _term_counts(texts: DataFrame, vocabulary: frozenset[str], rare: float = RARE) -> tuple[int, dict[str, int]]:
+    """Documents, and in how many of them each template term, and each other that a share ``rare`` of them has, stands: over all texts, summed in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(list(often), pa.string()), pa.array([t in vocabulary for t in often], pa.bool_()), pa.array(list(often.values()), pa.int64())], names=["term", "of_template", "n"])
+            often.clear()
+            return made
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                often[""] += 1
-                often.update(vocabulary & set(terms(text or "")))
-        yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["term", "n"])
+                often.update(set(terms(text or "")))
+            if len(often) > FLUSH_TERMS:
+                yield out()
+        yield out()
 
-    rows = texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r.term: r.n for r in rows.collect()}  # a row for each template term at most
-    return found.pop("", 0), found
+    documents = texts.count()
+    rows = texts.mapInArrow(run, "term string, of_template boolean, n long").groupBy("term", "of_template").agg(F.sum("n").alias("n"))
+    kept = rows.where((F.col("n") >= rare * documents) | F.col("of_template"))
+    return documents, {r.term: r.n for r in kept.collect()}
 
 
 def ancestors(directory: Column) -> Column:
@@ -199,13 +247,14 @@ def ancestors(directory: Column) -> Column:
 
 
 def license_scan(
-    files: DataFrame, *, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, titles: dict[str, tuple[str, ...]] = TITLES
+    files: DataFrame, *, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE, titles: dict[str, tuple[str, ...]] = TITLES
 ) -> DataFrame:
     """From doc_id, path, text: doc_id, path, own_license, cosine, license, inherited_from, distance.
 
     Each line, each paragraph, each run of a template's number of words in a
-    paragraph and the whole of a text is compared with the templates; titles
-    count word for word (cosine 1); idf is counted over all texts. A file without a notice of its
+    paragraph and the whole of a text is compared with the templates (notices
+    and whole licence texts, if none are given); titles count word for word
+    (cosine 1); idf is counted over all texts. A file without a notice of its
     own gets that of the licence file in the nearest directory at or above its
     own: distinct directories are joined with their ancestors that have one,
     and files with their directory's answer.
@@ -218,6 +267,7 @@ def license_scan(
     spark = files.sparkSession
     where = shared_dir(spark)
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text")
+    templates = both(TEMPLATES, full_texts()) if templates is None else templates
     vocabulary = frozenset(t for texts in templates.values() for x in texts for t in terms(x))
     shared = spark.sparkContext.broadcast(Scanner(templates, *_term_counts(rows.select("text"), vocabulary), titles))
 
