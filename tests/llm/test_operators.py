@@ -296,9 +296,65 @@ def test_model_is_a_distribution():
     assert 0.9 < total <= 1.0001 and set(seen) <= set(letters)
 
 
+def kneser_ney(texts):
+    """Interpolated Kneser-Ney of order 4 by the definition: probability of a character after up to three others."""
+    order, counts = language_id.ORDER, [Counter() for _ in range(language_id.ORDER)]
+    for text in texts:
+        line = " " * (order - 1) + re.sub("[^a-z]+", " ", text.lower()).lstrip(" ")
+        for i in range(order - 1, len(line)):
+            counts[-1][line[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):  # in how many contexts of one character more each shorter n-gram stands
+        for gram in counts[n]:
+            counts[n - 1][gram[1:]] += 1
+
+    def prob(gram):
+        if not gram:
+            return 1 / (len(counts[0]) + 1)
+        own = counts[len(gram) - 1]
+        n1, n2 = (sum(1 for c in own.values() if c == k) for k in (1, 2))
+        cut = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
+        beside = [c for g, c in own.items() if g[:-1] == gram[:-1]]
+        if not beside:
+            return prob(gram[1:])
+        return max(own[gram] - cut, 0) / sum(beside) + cut * len(beside) / sum(beside) * prob(gram[1:])
+
+    return prob
+
+
+def test_model_is_kneser_ney(spark):
+    rows = [r.text for r in sample(spark).collect() if r.lang == "en" and r.text and r.text.isascii()][:60]
+    texts = [x[:400] for x in rows if x]
+    keys, n = language_id.np.unique(language_id.grams(texts)[0], return_counts=True)
+    model, prob, rng = language_id.Model.fit(keys, n.astype(float)), kneser_ney(texts), random.Random(2)
+    grams = {"".join(rng.choice(" abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(60)} | {texts[i % len(texts)].lower()[i : i + 4] for i in range(60)}
+    grams = sorted(g for g in grams if re.fullmatch("[a-z ]{4}", g) and "  " not in g)
+    code = lambda g: sum((0 if c == " " else ord(c)) << 16 * (3 - i) for i, c in enumerate(g))
+    got = model.prob(language_id.np.array([code(g) for g in grams], language_id.np.uint64))
+    assert len(grams) > 60 and got.tolist() == pytest.approx([prob(g) for g in grams], rel=1e-4)
+
+
 # Quality
 
 
+def test_ranking_is_the_least_loss_of_pairs():
+    """The gradient of the pairs' logistic loss is zero at the weights, and better documents lie higher."""
+    np, rng = quality.np, quality.np.random.default_rng(1)
+    rows = rng.random((400, len(quality.FEATURES)))
+    labels = (rows[:, 0] + rows[:, 3] * 0.5 + rng.normal(0, 0.3, 400) > 0.75).astype(int)
+    found = quality.rank(rows, labels, pairs=20_000)
+    x = (quality.expanded(rows) - found.mean) / found.scale
+    draw = np.random.default_rng(5)
+    won, lost = draw.choice(np.flatnonzero(labels == 1), 20_000), draw.choice(np.flatnonzero(labels == 0), 20_000)
+    d = x[won] - x[lost]
+    gradient = (d * (1 / (1 + np.exp(d @ found.weights)))[:, None]).mean(0) - 1e-3 * found.weights
+    assert np.abs(gradient).max() < 1e-3
+    raw = x @ found.weights
+    right = (raw[won] > raw[lost]).mean()
+    assert right > 0.8 and found.cut == pytest.approx(np.quantile(raw, (labels == 0).mean()))
+    scores = found.score(rows)
+    assert ((scores >= quality.CUT) == (raw >= found.cut)).mean() > 0.99 and (np.argsort(scores, kind="stable") == np.argsort(raw, kind="stable")).mean() > 0.9
+
+
 def test_quality_held_out(spark):
     got = {r.doc_id: r for r in registry.QUERIES["op5_quality"](spark, "/root/testdata/sf0.01").collect()}
     truth = {r.doc_id: r.quality for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
