@@ -339,10 +339,10 @@ def test_model_is_kneser_ney(spark):
 def test_ranking_is_the_least_loss_of_pairs():
     """The gradient of the pairs' logistic loss is zero at the weights, and better documents lie higher."""
     np, rng = quality.np, quality.np.random.default_rng(1)
-    rows = rng.random((400, len(quality.FEATURES)))
+    rows = rng.random((400, len(quality.FEATURES) + quality.KINDS))
     labels = (rows[:, 0] + rows[:, 3] * 0.5 + rng.normal(0, 0.3, 400) > 0.75).astype(int)
     found = quality.rank(rows, labels, pairs=20_000)
-    x = (quality.expanded(rows) - found.mean) / found.scale
+    x = quality.standard(rows, found.mean, found.scale)
     draw = np.random.default_rng(5)
     won, lost = draw.choice(np.flatnonzero(labels == 1), 20_000), draw.choice(np.flatnonzero(labels == 0), 20_000)
     d = x[won] - x[lost]
