@@ -653,6 +653,8 @@ def test_groups_are_the_maximal_repeats(spark):
             for i, x in places:
                 hit = {y for (_, m, cut), own in got.items() for (j, s) in own if j == i for y in range(s, s + m)}
                 assert hit >= set(range(x, x + n))
+    spans = {(r.doc_id, y) for r in suffix_dedup.remove_repeats(frame, length=12, gram=4).collect() for x in r.spans for y in range(x.start, x.stop)}
+    assert spans == {(i, y) for (_, n, _), own in got.items() for i, x in own for y in range(x, x + n)}
     windows = suffix_dedup.repeat_groups(frame, length=12, gram=4, cell=1)
     assert {(r.doc_id, y) for r in windows.collect() for y in range(r.start, r.start + r.length)} == {(i, y) for (_, n, _), own in got.items() for i, x in own for y in range(x, x + n)}
 

@@ -202,16 +202,12 @@ def common_prefix_intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, begin))
 
 
-def maximal_repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Maximal repeats of ``length`` bytes or more around anchors: bytes from the anchor on, bytes before it, and all members.
+def extended_intervals(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Intervals of the suffixes that begin at anchors, if some of their members share ``length`` bytes or more with the bytes before.
 
-    Suffixes that begin at anchors are sorted, and the intervals of their
-    common prefixes scanned. The members of an interval, sorted by the bytes
-    before their anchors, have intervals of common extensions to the left in
-    turn; such a one is left-diverse, as two of its members differ in the byte
-    before, or one has none. It is a repeat of its own if it is right-diverse
-    as well, that is, if its members are not all within one child of the first
-    interval; else that child gives it, and longer.
+    Gives the bytes that all members share from the anchor on, the members
+    sorted by what stands before them, how many bytes there each shares with
+    the next, and the child interval that each is of.
     """
     right, right_size = _padded(rights, length)
     left, left_size = _padded(lefts, length - gram)
@@ -226,13 +222,22 @@ def maximal_repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes],
         by_left = np.argsort(rank[members])
         members = members[by_left]
         shared = _common(left, left_size, members[:-1], members[1:])
+        if shared.max() + depth >= length:
+            yield depth, members, shared, np.concatenate([[0], np.cumsum(lcp[first + 1 : last + 1] == depth)])[by_left]
+
+
+def maximal_repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Maximal repeats of ``length`` bytes or more around anchors: bytes from the anchor on, bytes before it, and all members.
+
+    The members of an interval, sorted by the bytes before their anchors, have
+    intervals of common extensions to the left in turn; such a one is
+    left-diverse, as two of its members differ in the byte before, or one has
+    none. It is a repeat of its own if it is right-diverse as well, that is, if
+    its members are not all within one child of the first interval; else that
+    child gives it, and longer.
+    """
+    for depth, members, shared, child in extended_intervals(group, lefts, rights, length, gram):
         long = np.concatenate([[False], shared + depth >= length, [False]])
-        if not long.any():
-            continue
-        if len(members) == 2:
-            yield depth, int(shared[0]), members
-            continue
-        child = np.concatenate([[0], np.cumsum(lcp[first + 1 : last + 1] == depth)])[by_left]
         edges = np.flatnonzero(long[1:] != long[:-1])
         for a, b in zip(edges[::2], edges[1::2] + 1, strict=True):
             for extension, low, high in common_prefix_intervals(np.concatenate([[-1], shared[a : b - 1]])):
@@ -241,6 +246,25 @@ def maximal_repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes],
                     yield depth, extension, members[own]
 
 
+def reach(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before and from each anchor on that its maximal repeats cover together, 0 if there are none.
+
+    A member's longest extension in an interval is that of the innermost
+    left-diverse interval that holds it, which is a maximal repeat there or,
+    longer, in a child; all hold the anchor, so together they are one range.
+    The repeats themselves need not be listed for it.
+    """
+    low, high = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    edge = np.zeros(1, np.int64)
+    for depth, members, shared, _ in extended_intervals(group, lefts, rights, length, gram):
+        extension = np.maximum(np.concatenate([edge, shared]), np.concatenate([shared, edge]))
+        enough = extension + depth >= length
+        own, extension = members[enough], extension[enough]
+        low[own] = np.maximum(low[own], extension)
+        high[own] = np.maximum(high[own], depth)
+    return low, high
+
+
 def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows that come sorted by anchor, some thousand at a time, cut between anchors."""
     held: list[pa.RecordBatch] = []
@@ -262,8 +286,8 @@ def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _repeats_of(rows: pa.Table, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    return maximal_repeats(rows["anchor"].to_numpy(), rows["left"].to_pylist(), rows["right"].to_pylist(), length, gram)
+def _contexts_of(rows: pa.Table) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    return rows["anchor"].to_numpy(), rows["left"].to_pylist(), rows["right"].to_pylist()
 
 
 def _covered(cells: DataFrame, length: int, gram: int) -> DataFrame:
@@ -275,10 +299,7 @@ def _covered(cells: DataFrame, length: int, gram: int) -> DataFrame:
             if own.any():
                 yield from rows.filter(pa.array(own)).select(["doc_id", "doc_key", "at", "stop"]).rename_columns(["doc_id", "doc_key", "start", "stop"]).to_batches()
                 rows = rows.filter(pa.array(~own))
-            low, high = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for depth, extension, members in _repeats_of(rows, length, gram):  # each holds its anchor, so together they are one range
-                low[members] = np.maximum(low[members], extension)
-                high[members] = np.maximum(high[members], depth)
+            low, high = reach(*_contexts_of(rows), length, gram)
             if len(hit := np.flatnonzero(high)):
                 at = rows["at"].to_numpy()[hit]
                 rows = rows.select(["doc_id", "doc_key"]).take(pa.array(hit)).combine_chunks()
@@ -298,7 +319,7 @@ def _grouped(cells: DataFrame, length: int, gram: int) -> DataFrame:
         for rows in _whole_anchors(batches):
             rows = rows.filter(rows["stop"].is_null()).combine_chunks()
             at, left, right = rows["at"].to_numpy(), rows["left"], rows["right"]
-            for depth, extension, members in _repeats_of(rows, length, gram):
+            for depth, extension, members in maximal_repeats(*_contexts_of(rows), length, gram):
                 one = int(members[0])
                 text = left[one].as_py()[:extension][::-1] + right[one].as_py()[:depth]
                 own = rows.select(["doc_id", "doc_key"]).take(pa.array(members)).combine_chunks()
