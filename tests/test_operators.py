@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import bisect
+import random
 import zlib
 
 import pytest
@@ -26,8 +28,8 @@ def offsets(df):
 
 
 def test_routing(spark):
-    rows = spark.createDataFrame([(b"user-42",), (b"k\x00",), (b"",), (None,)], "key binary")
-    assert [r.p for r in rows.select(scalars.keyed_partition("key", 3).alias("p")).collect()] == [zlib.crc32(b"user-42") % 3, zlib.crc32(b"k\x00") % 3, 0, None]
+    rows = spark.createDataFrame([(b"user seven",), (b"k\x00",), (b"",), (None,)], "key binary")
+    assert [r.p for r in rows.select(scalars.keyed_partition("key", 3).alias("p")).collect()] == [zlib.crc32(b"user seven") % 3, zlib.crc32(b"k\x00") % 3, 0, None]
 
 
 def test_keyless_sends_take_turns_and_explicit_partitions_win(spark):
@@ -214,10 +216,29 @@ def test_folds(spark):
     assert [r.segment for r in produce.roll_segments(rows, "size", 10, order="offset").orderBy("offset").collect()] == [0, 0, 1, 2, 3]
 
 
-def test_index_floor(spark):
-    index = spark.createDataFrame([("t", 0, 100, 0), ("t", 0, 110, 512), ("t", 0, 125, 900)], "topic string, partition int, base_offset long, position long")
-    targets = spark.createDataFrame([("t", 0, 99), ("t", 0, 117), ("t", 0, 125)], "topic string, partition int, target long")
-    assert [r.position for r in produce.index_floor(targets, index).orderBy("target").collect()] == [0, 512, 900]
+def test_index_floor_is_a_search(spark):
+    rng = random.Random(4)
+    entries = {p: sorted(rng.sample(range(500), 12)) for p in range(3)}
+    index = spark.createDataFrame([("t", p, o, 10 * i) for p, own in entries.items() for i, o in enumerate(own)], "topic string, partition int, base_offset long, position long")
+    wanted = [("t", p, o) for p in range(4) for o in rng.sample(range(520), 30)]
+    got = {(r.partition, r.target): r.position for r in produce.index_floor(spark.createDataFrame(wanted, "topic string, partition int, target long"), index).collect()}
+    assert got == {(p, o): 10 * max(0, bisect.bisect_right(entries.get(p, []), o) - 1) for _, p, o in wanted}
+
+
+def test_sampled_index(spark):
+    rng = random.Random(5)
+    sizes = {p: [rng.randrange(1, 90) for _ in range(40)] for p in range(2)}
+    rows = spark.createDataFrame([("t", p, 7 * i, s) for p, own in sizes.items() for i, s in enumerate(own)], "topic string, partition int, base_offset long, bytes long")
+    got = sorted((r.partition, r.base_offset, r.position) for r in produce.sample_index(rows, "bytes", 100).collect())
+    want = []
+    for p, own in sizes.items():
+        position, last = 0, None
+        for i, s in enumerate(own):
+            if last is None or position - last >= 100:
+                want.append((p, 7 * i, position))
+                last = position
+            position += s
+    assert got == want
 
 
 def test_values():
