@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,13 +57,26 @@ def validate(batches: DataFrame) -> DataFrame:
     """Verdicts of batches in send order: topic, partition, producer_id, send_seq, verdict, result_offset.
 
     The machine depends on every verdict before, so a producer's batches in a
-    partition (a row a batch, not a record) meet in one task.
+    partition (a row a batch, not a record) go to one task; there they are
+    sorted, spilling if need be, and one state is carried along.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return run_state(rows, None)[0]
-
-    return batches.groupBy("topic", "partition", "producer_id").applyInPandas(run, SCHEMA)
+    names = ["topic", "partition", "producer_id", "send_seq", "producer_epoch", "base_sequence", "records"]
+    rows = batches.select(*names).repartition("topic", "partition", "producer_id").sortWithinPartitions("topic", "partition", "producer_id", "send_seq")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for part in parts:
+            topic, partition, producer, sent, epoch, first, count = (part.column(i).to_pylist() for i in range(7))
+            verdicts, offsets = [], []
+            for key, s, e, f, n in zip(zip(topic, partition, producer, strict=True), sent, epoch, first, count, strict=True):
+                if key != last:
+                    last, state = key, None
+                state, verdict, offset = step(state, e, f, n, s)
+                verdicts.append(verdict)
+                offsets.append(offset)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(verdicts, pa.string()), pa.array(offsets, pa.int64())], names=[*names[:4], "verdict", "result_offset"])
+
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def sequence_gaps(batches: DataFrame) -> DataFrame:

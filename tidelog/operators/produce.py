@@ -15,8 +15,8 @@ from ..functions.scalars import keyed_partition
 TP = ("topic", "partition")
 
 
-def dense_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Column, name: str) -> DataFrame:
-    """0, 1, 2 ... within ``group`` by ``order``, without a task that sees a whole group.
+def dense_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Column, name: str, total: str | None = None) -> DataFrame:
+    """0, 1, 2 ... within ``group`` by ``order``, without a task that sees a whole group; and the group's rows, if ``total`` names a column.
 
     ``chunk`` must not fall as ``order`` rises (a day of the time ordered by).
     Rows are counted per chunk, the counts of earlier chunks added up (one row
@@ -26,7 +26,8 @@ def dense_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], chu
     rows = df.withColumn("__chunk", chunk)
     counts = rows.groupBy(*group, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*group, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    whole = [F.sum("__n").over(Window.partitionBy(*group)).alias(total)] if total else []
+    bases = counts.select(*group, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), *whole)
     own = Window.partitionBy(*group, "__chunk").orderBy(*order)
     numbered = rows.withColumn("__row", F.row_number().over(own) - 1)
     return numbered.join(bases, [*group, "__chunk"]).withColumn(name, F.col("__base") + F.col("__row")).drop("__chunk", "__base", "__row", "__n")
@@ -44,19 +45,24 @@ def route(df: DataFrame, partitions: int, order: Sequence[str], chunk: Column, k
     return routed
 
 
-def assign_offsets(df: DataFrame, order: Sequence[str], chunk: Column, ends: DataFrame | None = None, group: Sequence[str] = TP) -> DataFrame:
-    """Adds ``offset``: dense within a partition, from the partition's end (``ends``: group and leo) or 0 on."""
-    numbered = dense_numbers(df, list(group), order, chunk, "offset")
+def assign_offsets(df: DataFrame, order: Sequence[str], chunk: Column, ends: DataFrame | None = None, group: Sequence[str] = TP, end: str | None = None) -> DataFrame:
+    """Adds ``offset``: dense within a partition, from the partition's end (``ends``: group and leo) or 0 on; and the end after it, if ``end`` names a column."""
+    numbered = dense_numbers(df, list(group), order, chunk, "offset", end)
     if ends is None:
         return numbered
     leo = F.coalesce(F.col("leo"), F.lit(0))
-    return numbered.join(ends.select(*group, "leo"), list(group), "left").withColumn("offset", F.col("offset") + leo).drop("leo")
+    moved = {"offset": F.col("offset") + leo} | ({end: F.col(end) + leo} if end else {})
+    return numbered.join(ends.select(*group, "leo"), list(group), "left").withColumns(moved).drop("leo")
 
 
-def tag_batches(log: DataFrame, records: int, group: Sequence[str] = TP) -> DataFrame:
-    """Batches of a fixed number of offsets: adds base_offset and last_offset_delta."""
+def tag_batches(log: DataFrame, records: int, group: Sequence[str] = TP, end: str | None = None) -> DataFrame:
+    """Batches of a fixed number of offsets: adds base_offset and last_offset_delta.
+
+    Only a partition's last batch is short: where a column gives the partition's
+    end no row needs to see another.
+    """
     base = F.col("offset") - F.col("offset") % records
-    last = F.max("offset").over(Window.partitionBy(*group, "base_offset"))
+    last = F.least(base + records, F.col(end)) - 1 if end else F.max("offset").over(Window.partitionBy(*group, "base_offset"))
     return log.withColumn("base_offset", base).withColumn("last_offset_delta", (last - F.col("base_offset")).cast("int"))
 
 

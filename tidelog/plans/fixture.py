@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import estimated_bytes
 from ..operators import produce, replication, visibility
+from ..sources.shared import shared_dir
 
 PARTITIONS, BATCH, SEGMENT, ISR_LAG = 3, 16, 256, 100
 RETENTION_MS, RETENTION_BYTES, TOMBSTONE_MS = 1_209_600_000, 40_000, 86_400_000
@@ -37,12 +38,29 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return produce.route(keyed(spark, sf_dir), PARTITIONS, ["ts", "event_id"], _day())
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = produce.assign_offsets(routed(spark, sf_dir), ["ts", "event_id"], _day(), group=GROUP)
-    rows = produce.tag_segments(produce.tag_batches(rows, BATCH, GROUP), SEGMENT)
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's rows, from the events."""
+    rows = produce.assign_offsets(routed(spark, sf_dir), ["ts", "event_id"], _day(), group=GROUP, end="end")
+    rows = produce.tag_segments(produce.tag_batches(rows, BATCH, GROUP, "end").drop("end"), SEGMENT)
     return rows.withColumns({"topic": F.lit("events"), "control": F.lit(None).cast("string"), "leader_epoch": F.lit(0).cast("long"), "size": estimated_bytes("key", "value")})
 
 
+_stored: dict[tuple, str] = {}
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a table, by topic and partition: written once for all queries of an application on the same events."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
+    rows = numbered(spark, sf_dir)
+    if key not in _stored:
+        where = shared_dir(spark)
+        rows.repartitionByRange("partition", "offset").sortWithinPartitions("partition", "offset").write.partitionBy("topic", "partition").parquet(where)
+        _stored[key] = where
+    return spark.read.schema(rows.schema).parquet(_stored[key]).select(*rows.columns)
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     txs = keyed(spark, sf_dir).where(F.col("transactional_id").isNotNull()).select("transactional_id").distinct().withColumn("n", F.substring("transactional_id", 4, 20).cast("int"))
     top = txs.agg(F.max("n").alias("top"))

@@ -100,7 +100,7 @@ def replica_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT part::BIGINT AS part, off::BIGINT AS off, event_id::BIGINT AS event_id FROM log")
 def assign_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(fx.log(spark, sf_dir), part="partition:long", off="offset:long", event_id="long")
+    return _out(fx.numbered(spark, sf_dir), part="partition:long", off="offset:long", event_id="long")
 
 
 @query("SELECT event_id::BIGINT AS event_id, size::BIGINT AS size FROM log")
@@ -427,27 +427,27 @@ def fenced_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(idempotence.fenced(rows), producer_id="long", send_seq="long")
 
 
-def _fold_sql(limit: int, column: str, after: bool) -> str:
+def _fold_sql(limit: int, column: str) -> str:
     total = f"w.total + n.{column}"
-    if after:
-        step = f"CASE WHEN w.closed THEN n.{column} ELSE {total} END, w.no + w.closed::INT, CASE WHEN w.closed THEN n.{column} ELSE {total} END >= {limit}"
-        first = f"{column}, 0, {column} >= {limit}"
-    else:
-        step = f"CASE WHEN {total} > {limit} THEN n.{column} ELSE {total} END, w.no + ({total} > {limit})::INT, false"
-        first = f"{column}, 0, false"
     return f""" SELECT part::BIGINT AS part, nth::BIGINT AS nth, no::BIGINT AS no FROM (
-  WITH RECURSIVE w(part, nth, total, no, closed) AS (SELECT part, nth, {first} FROM nums WHERE nth = 0
-    UNION ALL SELECT n.part, n.nth, {step} FROM w JOIN nums n ON n.part = w.part AND n.nth = w.nth + 1) SELECT * FROM w)"""
+  WITH RECURSIVE w(part, nth, total, no) AS (SELECT part, nth, {column}, 0 FROM nums WHERE nth = 0
+    UNION ALL SELECT n.part, n.nth, CASE WHEN {total} > {limit} THEN n.{column} ELSE {total} END, w.no + ({total} > {limit})::INT
+    FROM w JOIN nums n ON n.part = w.part AND n.nth = w.nth + 1) SELECT * FROM w)"""
 
 
-@query(", nums AS (SELECT part, off AS nth, size::BIGINT AS size FROM log WHERE off < 1500)" + _fold_sql(1000, "size", True))
+@query(""", sums AS (SELECT part, off, size, sum(size) OVER (PARTITION BY part ORDER BY off) AS done FROM log),
+jumps AS MATERIALIZED (SELECT part, off, min(off) OVER (PARTITION BY part ORDER BY done RANGE BETWEEN greatest(0, 1000 - size) FOLLOWING AND UNBOUNDED FOLLOWING) + 1 AS nxt FROM sums)
+SELECT l.part::BIGINT AS part, l.off::BIGINT AS nth, sum((s.off IS NOT NULL)::INT) OVER (PARTITION BY l.part ORDER BY l.off)::BIGINT - 1 AS no FROM log l LEFT JOIN (
+  WITH RECURSIVE starts(part, off) AS (SELECT DISTINCT part, 0::BIGINT FROM log
+    UNION ALL SELECT s.part, j.nxt FROM starts s JOIN jumps j ON j.part = s.part AND j.off = s.off) SELECT * FROM starts) s
+  ON l.part = s.part AND l.off = s.off""")
 def batch_close_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the whole log; the recursive SQL stops at offset 1,500, so it has only the first of these rows
+    # in SQL: where each possible batch would close, then from one batch's end to the next
     found = produce.close_batches(fx.log(spark, sf_dir), "size", 1000, group=G)
     return _out(found, part="partition:long", nth="offset:long", no="batch:long")
 
 
-@query(", nums AS (SELECT part, base // 16 AS nth, sz AS size FROM batch)" + _fold_sql(8000, "size", False))
+@query(", nums AS (SELECT part, base // 16 AS nth, sz AS size FROM batch)" + _fold_sql(8000, "size"))
 def segment_roll_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = visibility.batches(fx.log(spark, sf_dir), F.col("size"), G).withColumn("nth", (F.col("base_offset") / 16).cast("long"))
     return _out(produce.roll_segments(rows, "bytes", 8000, order="nth", group=G), part="partition:long", nth="long", no="segment:long")
@@ -489,6 +489,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sessions(fx.events(spark, sf_dir), "6 hours")
 
 
-@query(None)
+@query("""SELECT member_id, first, n FROM (SELECT user_id::BIGINT AS member_id, min(ts)::TIMESTAMP AS first, max(ts) AS last, count(*) AS n FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events))
+  GROUP BY user_id, s) WHERE last + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""", plain=True)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.closed_sessions(spark, f"{sf_dir}/events.parquet", "6 hours", "1 hour")
