@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars
 from ..operators import consume, idempotence, maintenance, produce, replication, transactions, visibility
 from ..streaming import queries as streams
+from . import control
 from . import fixture as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,3 +496,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
   GROUP BY user_id, s) WHERE last + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""", plain=True)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.closed_sessions(spark, f"{sf_dir}/events.parquet", "6 hours", "1 hour")
+
+
+QUERIES |= control.QUERIES
+ORACLES |= {name: sql if plain else _LOG + sql for name, (sql, plain) in control.ORACLES.items()}
