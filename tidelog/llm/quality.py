@@ -113,8 +113,8 @@ def rank(rows: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, penalty: floa
     weights = np.zeros(x.shape[1])
     for _ in range(12):
         gram, slope = np.zeros((len(weights), len(weights))), np.zeros(len(weights))
-        for i in range(0, pairs, 50_000):
-            d = x[won[i : i + 50_000]] - x[lost[i : i + 50_000]]
+        for i in range(0, pairs, 5_000):
+            d = x[won[i : i + 5_000]] - x[lost[i : i + 5_000]]
             p = 1 / (1 + np.exp(-np.clip(d @ weights, -40, 40)))
             slope += d.T @ (1 - p)
             gram += (d * (p * (1 - p))[:, None]).T @ d
@@ -145,10 +145,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
         .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality").toPandas()
-    if rows.empty:
+    rows = _features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality").toArrow()
+    if not len(rows):
         return None
-    return rank(np.stack(rows["features"].to_list()), rows["quality"].to_numpy())
+    flat = rows["features"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    return rank(flat, rows["quality"].to_numpy())
 
 
 def score(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
