@@ -138,7 +138,7 @@ def index_floor(targets: DataFrame, index: DataFrame, target: str = "target", or
 def due_partitions(pending: DataFrame, now_ms: int, linger_ms: int, group: Sequence[str] = TP) -> DataFrame:
     """Partitions whose first waiting record (by send_seq) was added ``linger_ms`` ago or longer."""
     first = pending.groupBy(*group).agg(F.min_by("added_ms", "send_seq").alias("first_ms"))
-    return first.where(F.lit(now_ms) - F.col("first_ms") >= linger_ms).select(*group)
+    return first.where(F.lit(now_ms) - F.col("first_ms") >= linger_ms).select(*group).orderBy(*group)
 
 
 def checked_buffer(pending: DataFrame, buffer_bytes: int, size: str = "bytes") -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import OffsetOutOfRange
+from ..functions.scalars import batch_next_offset
 from ..schema import UNSTABLE
 from .produce import TP
 
@@ -48,7 +49,7 @@ def read_batches(batches: DataFrame, offset: int, max_bytes: int, *, end: int |
 def batches(log: DataFrame, size: Column, group: Sequence[str] = TP) -> DataFrame:
     """One row a batch; a control marker's greatest time is -1."""
     return log.groupBy(*group, "base_offset").agg(
-        F.max(F.col("base_offset") + F.col("last_offset_delta") + 1).alias("next_offset"), F.count(F.lit(1)).alias("records"),
+        F.max(batch_next_offset("base_offset", "last_offset_delta")).alias("next_offset"), F.count(F.lit(1)).alias("records"),
         F.coalesce(F.max("timestamp_ms"), F.lit(-1)).cast("long").alias("max_timestamp_ms"), F.sum(size).cast("long").alias("bytes"),
     )
 
@@ -63,7 +64,7 @@ def segments(log: DataFrame, size: Column, group: Sequence[str] = TP) -> DataFra
 
 def log_ends(log: DataFrame, group: Sequence[str] = TP) -> DataFrame:
     """start and leo; the end follows the batches, whose last records compaction may have taken."""
-    end = F.max(F.col("base_offset") + F.col("last_offset_delta") + 1)
+    end = F.max(batch_next_offset("base_offset", "last_offset_delta"))
     return log.groupBy(*group).agg(F.min("segment_base").alias("start"), end.alias("leo"), F.max("leader_epoch").alias("leader_epoch"))
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Isolation, LogConfig, Reset
-from ..functions import scalars
 from ..operators import produce, visibility
 from ..sources import codec
 from ..sources.gateway import Gateway
 from ..sources.shared import shared_dir
-from ..sources.store import EventLog
+from ..sources.store import EventLog, produce_size
+from ..streaming import queries as streams
 from . import fixture as fx
 
 TOPIC = "events"
@@ -94,14 +94,12 @@ def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three segments, of which one of the oldest leaves by size."""
     log, rows = opened(spark), records(spark, sf_dir).withColumn("partition", F.lit(0))
     log.create_topic(TOPIC, 1)
-    sizes = []
     for i in range(3):
-        part = rows.where(F.floor(F.col("send_seq") / 10) % 3 == i)
-        log.produce(TOPIC, part)
-        sizes.append(part.agg(F.sum(scalars.estimated_bytes("key", "value"))).first()[0])
+        log.produce(TOPIC, rows.where(F.floor(F.col("send_seq") / 10) % 3 == i))
         log.roll(TOPIC, 0)
     log.produce(TOPIC, rows.where("send_seq < 3"))
-    log.apply_retention(TOPIC, 0, retention_bytes=log.rows(TOPIC, 0).agg(F.sum(scalars.estimated_bytes("key", "value"))).first()[0] - sizes[0])
+    later = log.rows(TOPIC, 0).where(F.col("segment_base") > 0).agg(F.sum(produce_size())).first()[0]
+    log.apply_retention(TOPIC, 0, retention_bytes=later)
     return fetched(log)
 
 
@@ -151,6 +149,29 @@ def gateway_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["offset"], r["key_b64"], r["value_b64"]) for r in found], "off long, key_b64 string, value_b64 string")
 
 
+def read_process_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events followed as a stream; what is made of each micro-batch and the offset behind it are published in one transaction, named by the micro-batch, so that one that comes again changes nothing."""
+    log = opened(spark)
+    log.create_topic("made", 2)
+
+    def publish(rows: DataFrame, batch_id: int) -> None:
+        txid = f"batch-{batch_id}"
+        if log.catalog.load()["transactions"].get(txid, {}).get("state") == "complete_commit":
+            return
+        made = rows.where("event_type <> 'error'").select(
+            F.lit(None).cast("binary").alias("key"), F.concat_ws("=", "event_type", "event_id").cast("binary").alias("value"), F.lit(0).cast("long").alias("timestamp_ms"),
+            F.array().cast("array<struct<key:string,value:binary>>").alias("headers"), (F.col("event_id") % 2).cast("int").alias("partition"), F.col("event_id").alias("send_seq"))
+        tx = log.begin(txid)
+        log.produce("made", made, transactional_id=txid)
+        tx.send_offsets("followers", {(TOPIC, 0): rows.agg(F.max("event_id")).first()[0] + 1})
+        tx.commit()
+        publish(rows, batch_id)
+
+    streams.follow_transactionally(streams.followed(spark, f"{sf_dir}/events.parquet"), publish, shared_dir(spark))
+    seen = log.fetch("made", 0, 0, isolation=Isolation.READ_COMMITTED).unionByName(log.fetch("made", 1, 0, isolation=Isolation.READ_COMMITTED))
+    return seen.select(F.col("partition").cast("long").alias("part"), F.col("offset").alias("off"), F.col("value").cast("string").alias("made"), F.lit(log.committed("followers", TOPIC, 0)).cast("long").alias("committed"))
+
+
 def codec_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every batch of the log encoded and decoded again: its frame's bytes, records, next offset, greatest time and the bytes of its values."""
     rows = fx.log(spark, sf_dir).select("partition", "base_offset", "last_offset_delta", "offset", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "timestamp_ms")
@@ -190,7 +211,7 @@ def index_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SENT = """, sent_log AS (SELECT event_id, CASE WHEN e.k IS NULL THEN event_id % 3 ELSE h.c % 3 END AS part FROM keyed e LEFT JOIN h ON e.k = h.k),
 placed AS (SELECT part, event_id, row_number() OVER (PARTITION BY part ORDER BY event_id) - 1 AS off FROM sent_log) """
 
-QUERIES = {f.__name__: f for f in (store_fetch, store_transactions, store_failover, store_compaction, store_retention, store_group, producer_session, gateway_requests, codec_frames, index_samples)}
+QUERIES = {f.__name__: f for f in (store_fetch, store_transactions, store_failover, store_compaction, store_retention, store_group, producer_session, gateway_requests, read_process_write, codec_frames, index_samples)}
 
 #: SQL behind the log's; True for what needs no log.
 ORACLES: dict[str, tuple[str, bool]] = {
@@ -215,6 +236,8 @@ ORACLES: dict[str, tuple[str, bool]] = {
             FROM steps s JOIN (SELECT * FROM rows) r ON r.nation = s.nation + 1 CROSS JOIN LATERAL (SELECT CASE WHEN r.free THEN s.sticky ELSE (r.nation % 2)::BIGINT END AS p)))
       SELECT nation, part, name FROM steps JOIN (SELECT nation::BIGINT AS nation, name FROM rows) USING (nation)""", True),
     "gateway_requests": ("SELECT off, NULL::VARCHAR AS key_b64, to_base64(encode(r_name)) AS value_b64 FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS off FROM region) WHERE off > 0", True),
+    "read_process_write": ("""SELECT event_id % 2 AS part, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) - 1 AS off, event_type || '=' || event_id AS made,
+      (SELECT max(event_id) + 1 FROM events) AS committed FROM events WHERE event_type <> 'error'""", True),
     "codec_frames": ("""SELECT part::BIGINT AS part, (off - off % 16)::BIGINT AS base, (52 + sum(size - 39 + 22))::BIGINT AS bytes, count(*) AS records, max(off)::BIGINT + 1 AS nxt, max(timestamp_ms)::BIGINT AS mts,
       sum(coalesce(strlen(v), 0))::BIGINT AS value_bytes FROM log GROUP BY part, off - off % 16""", False),
     "index_samples": (""", pos AS MATERIALIZED (SELECT part, base, coalesce(sum(sz) OVER (PARTITION BY part ORDER BY base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM batch),

@@ -116,6 +116,13 @@ def frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(rows, part="partition:long", base="base_offset:long", bytes="long")
 
 
+@query("""SELECT part::BIGINT AS part, off::BIGINT AS off, ((txid IS NOT NULL)::INT + CASE WHEN off % 97 = 0 AND txid IS NOT NULL THEN CASE WHEN off % 2 = 0 THEN 2 ELSE 4 END ELSE 0 END)::BIGINT AS flags FROM log""")
+def batch_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marker = F.when((F.col("offset") % 97 == 0) & F.col("transactional_id").isNotNull(), F.when(F.col("offset") % 2 == 0, "commit").otherwise("abort"))
+    rows = fx.log(spark, sf_dir).withColumn("flags", scalars.flags(F.col("transactional_id").isNotNull(), marker))
+    return _out(rows, part="partition:long", off="offset:long", flags="long")
+
+
 @query("SELECT part::BIGINT AS part, base, nxt, n AS records, mts, sz FROM batch")
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = visibility.batches(fx.log(spark, sf_dir), F.col("size"), G)

@@ -17,7 +17,7 @@ from ..sources.shared import shared_dir
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _followed(spark: SparkSession, path: str) -> DataFrame:
+def followed(spark: SparkSession, path: str) -> DataFrame:
     """A stream of a folder's files, or of one file by itself."""
     schema = spark.read.parquet(path).schema
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -36,7 +36,7 @@ def _run(df: DataFrame, where: str, mode: str = "append") -> DataFrame:
 
 def tail(spark: SparkSession, path: str, partitions: int) -> DataFrame:
     """Follows a folder of events and routes those with a key."""
-    rows = _followed(spark, path).where(F.col("event_id") % 10 != 0)
+    rows = followed(spark, path).where(F.col("event_id") % 10 != 0)
     routed = rows.select("event_id", keyed_partition(F.col("user_id").cast("string"), partitions).cast("long").alias("part"))
     return _run(routed, shared_dir(spark))
 
@@ -71,7 +71,7 @@ def dedup(spark: SparkSession, batches: DataFrame) -> DataFrame:
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     try:
-        return _run(deduplicated(_followed(spark, f"{where}/in")), where)
+        return _run(deduplicated(followed(spark, f"{where}/in")), where)
     finally:
         if before:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
@@ -91,7 +91,7 @@ def _sessions(rows: DataFrame, gap: str) -> DataFrame:
 
 def closed_sessions(spark: SparkSession, path: str, gap: str, late: str) -> DataFrame:
     """Sessions that have timed out, each given once, when the watermark has passed its end."""
-    rows = _followed(spark, path).select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    rows = followed(spark, path).select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     return _run(_sessions(rows, gap), shared_dir(spark))
 
 
