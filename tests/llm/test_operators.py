@@ -266,6 +266,9 @@ def test_language_cases(spark):
     for blank in (1, 2, 3, 7):
         assert by[blank][1:] == ("und", 0.0, True)
     assert by[20][3] and by[21][3]
+    clash = docs(spark, rows).withColumnsRenamed({"lang": "bits", "source": "doc_key", "n_chars": "lang_pred"})
+    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+    assert [r.lang_pred for r in sorted(language_id.identify(clash, model).collect(), key=key)] == [r.lang_pred for r in sorted(language_id.identify(docs(spark, rows), model).collect(), key=key)]
     assert language_id.learn(docs(spark, [])) is None
     assert {r.lang_pred for r in language_id.identify(docs(spark), None).collect()} == {"und"}
     one = language_id.learn(docs(spark, [(i, "only one language here", "en", "s", 1) for i in range(9)]))

@@ -148,3 +148,14 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) A
   coalesce(n_removed_chunks, 0) AS n_removed_chunks, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN found USING (doc_id)
 """
+
+#: Of :func:`passage_dedup`.
+PASSAGE_SQL = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM split),
+pairs AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM lines),
+judged AS (SELECT doc_id, i, line, following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, i) > 1 AS again FROM pairs),
+marked AS (SELECT doc_id, i, line, again OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM judged),
+found AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS m, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(m, 0) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN found USING (doc_id)
+"""

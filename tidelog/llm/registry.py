@@ -80,6 +80,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "line_passages": line_dedup.PASSAGE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op6_minhash": minhash.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
