@@ -50,6 +50,21 @@ def test_range_reaches_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(offset,100)" in plan and "LessThan(offset,150)" in plan and "PartitionFilters: [isnotnull(topic" in plan
 
 
+def test_log_is_written_once_and_again_if_it_is_gone(spark):
+    import shutil
+
+    from tidelog.plans import fixture
+
+    rows = fixture.log(spark, SF).count()
+    kept = dict(fixture._stored)
+    assert fixture.log(spark, SF).count() == rows and fixture._stored == kept
+    plan = fixture.log(spark, SF).where("partition = 1 AND offset < 9")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition" in plan and "LessThan(offset,9)" in plan and "Exchange" not in plan
+    for where in fixture._stored.values():
+        shutil.rmtree(where.removeprefix("file://"))
+    assert fixture.log(spark, SF).count() == rows and fixture._stored != kept
+
+
 def test_no_python_and_no_product_in_hot_plans(spark):
     for name in ("read_committed", "compact_latest", "assign_offsets", "retain_both", "consumer_lag"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -50,10 +50,18 @@ _stored: dict[tuple, str] = {}
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a table, by topic and partition: written once for all queries of an application on the same events."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    def path(name: str) -> tuple:
+        made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    events_path, system = path(f"{sf_dir}/events.parquet")
+    status = system.getFileStatus(events_path)
     key = (spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
     rows = numbered(spark, sf_dir)
+    if key in _stored:  # someone may have cleared the shared folder
+        done, system = path(f"{_stored[key]}/_SUCCESS")
+        if not system.exists(done):
+            del _stored[key]
     if key not in _stored:
         where = shared_dir(spark)
         rows.repartitionByRange("partition", "offset").sortWithinPartitions("partition", "offset").write.partitionBy("topic", "partition").parquet(where)

@@ -93,10 +93,11 @@ def route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(fx.routed(spark, sf_dir), event_id="long", part="partition:long")
 
 
-@query("""SELECT p::BIGINT AS part, r::BIGINT AS nth, ([1, 2, 3])[(p + r) % 3 + 1]::BIGINT AS broker_id FROM range(4) a(p), range(2) b(r)""", plain=True)
+@query("""SELECT n_nationkey::BIGINT AS part, r::BIGINT AS nth, ([1, 2, 3])[(n_nationkey + r) % 3 + 1]::BIGINT AS broker_id FROM nation, range(2) b(r)""", plain=True)
 def replica_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(4).select("id", F.posexplode(scalars.placed_replicas("id", [1, 2, 3], 2)).alias("nth", "broker_id"))
-    return _out(rows, part="id:long", nth="long", broker_id="long")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = nations.select("n_nationkey", F.posexplode(scalars.placed_replicas("n_nationkey", [1, 2, 3], 2)).alias("nth", "broker_id"))
+    return _out(rows, part="n_nationkey:long", nth="long", broker_id="long")
 
 
 @query("SELECT part::BIGINT AS part, off::BIGINT AS off, event_id::BIGINT AS event_id FROM log")
@@ -340,26 +341,34 @@ def follower_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return due.groupBy(F.col("partition").cast("long").alias("part"), F.col("broker_id").cast("long").alias("broker_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").cast("long").alias("sz"))
 
 
-_MEMBERS = "mem(topic, mem) AS (VALUES ('events','a'), ('events','b'), ('orders','b'), ('orders','c')), parts(topic, pt) AS (SELECT * FROM (VALUES ('events'), ('orders'), ('unread')) t(topic), range(3) r(pt))"
+# Regions are topics, their nations partitions; seven members subscribe to the regions of their suppliers.
+_MEMBERS = """parts(topic, pt) AS (SELECT r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 > 0 UNION ALL SELECT 'unread', 0),
+sells AS (SELECT DISTINCT r_name AS topic, n_nationkey AS pt, 's' || (s_suppkey % 7) AS mem FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+mem AS (SELECT DISTINCT topic, mem FROM sells),
+dealt AS (SELECT p.topic, p.pt, m.mem FROM (SELECT topic, pt, row_number() OVER (ORDER BY topic, pt) - 1 AS cur, n
+   FROM (SELECT x.topic, x.pt, (SELECT count(*) FROM mem y WHERE y.topic = x.topic) AS n FROM parts x) q WHERE n > 0) p
+ JOIN (SELECT topic, mem, row_number() OVER (PARTITION BY topic ORDER BY mem) - 1 AS rk FROM mem) m ON m.topic = p.topic AND m.rk = p.cur % p.n)"""
 
 
-def _group(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    parts = spark.createDataFrame([(t, p) for t in ("events", "orders", "unread") for p in range(3)], "topic string, partition int")
-    members = spark.createDataFrame([("events", "a"), ("events", "b"), ("orders", "b"), ("orders", "c")], "topic string, member_id string")
-    return parts, members
+def _group(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    nations = read("nation").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("topic"), F.col("n_nationkey").alias("partition"))
+    parts = nations.where("partition % 6 > 0").unionByName(spark.createDataFrame([("unread", 0)], "topic string, partition int"))
+    sells = read("supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("partition"))
+    sells = sells.select("topic", "partition", F.concat(F.lit("s"), F.col("s_suppkey") % 7).alias("member_id")).distinct()
+    return parts, sells.select("topic", "member_id").distinct(), sells
 
 
-@query(f"""WITH {_MEMBERS} SELECT p.topic, p.pt::BIGINT AS part, m.mem AS member_id FROM (SELECT topic, pt, row_number() OVER (ORDER BY topic, pt)-1 cur, n
-   FROM (SELECT x.topic, x.pt, (SELECT count(*) FROM mem y WHERE y.topic=x.topic) n FROM parts x) q WHERE n>0) p
- JOIN (SELECT topic, mem, row_number() OVER (PARTITION BY topic ORDER BY mem)-1 rk FROM mem) m ON m.topic=p.topic AND m.rk = p.cur % p.n""", plain=True)
+@query(f"WITH {_MEMBERS} SELECT topic, pt::BIGINT AS part, mem AS member_id FROM dealt", plain=True)
 def assign_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(consume.round_robin(*_group(spark)), topic="string", part="partition:long", member_id="string")
+    parts, members, _ = _group(spark, sf_dir)
+    return _out(consume.round_robin(parts, members), topic="string", part="partition:long", member_id="string")
 
 
-@query("SELECT * FROM (VALUES ('events', 1::BIGINT, 'a'), ('orders', 2::BIGINT, 'z')) t(topic, part, member_id)", plain=True)
+@query(f"WITH {_MEMBERS} SELECT topic, pt::BIGINT AS part, mem AS member_id FROM sells EXCEPT SELECT topic, pt, mem FROM dealt", plain=True)
 def ownership_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = spark.createDataFrame([("events", 0, "a"), ("events", 1, "a"), ("orders", 2, "z")], "topic string, partition int, member_id string")
-    return _out(consume.not_owned(commits, consume.round_robin(*_group(spark))), topic="string", part="partition:long", member_id="string")
+    parts, members, sells = _group(spark, sf_dir)  # every member commits where it has a supplier
+    return _out(consume.not_owned(sells, consume.round_robin(parts, members)), topic="string", part="partition:long", member_id="string")
 
 
 @query("SELECT user_id::BIGINT AS member_id FROM (SELECT user_id, max(timestamp_ms) m FROM (SELECT user_id, epoch_us(ts)//1000 AS timestamp_ms FROM events) GROUP BY 1) WHERE (SELECT now_ms FROM now) > m + 10000000")
